@@ -26,12 +26,25 @@ from pyspark.sql import functions as F
 from sedimenta.llm.common import scratch_root, table
 
 BLOCK, CHUNK, SLOTS, TOTAL = 4096, 512, 12, 4096
-MAGIC, END_ID, TABLE_ROWS, LANES = b"CMRC1\0", 1, 250_000, 1024
+MAGIC, END_ID, TABLE_ROWS, LANES = b"CMRC1\0", 1, 500_000, 1024
 
 PLAIN = re.compile(r"[\t-\r\x20-\x7e\xc0-\xff]*")
 PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, which outlives a task: what one task has met, the next need not encode."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_sedimenta_worker", types.ModuleType("_sedimenta_worker"))
+    if not hasattr(held, "encoders"):
+        held.encoders = {}
+    if path not in held.encoders:
+        held.encoders[path] = Encoder(path)
+    return held.encoders[path]
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -62,8 +75,10 @@ class Encoder:
             if len(self.ids) > self.rows:
                 self.ids.clear()
             new = [p for p in set(parts) if p not in self.ids]
-            for p, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False)):
-                self.ids[p] = struct.pack(f"<{len(e.ids)}H", *e.ids)
+            e = self.lib.encode(" ".join(new), add_special_tokens=False)  # one call; pre-tokens keep their order
+            ids, ends = np.array(e.ids, "<u2"), np.flatnonzero(np.diff(e.word_ids, append=-1)) + 1
+            for p, a, b in zip(new, [0, *ends.tolist()], ends.tolist()):
+                self.ids[p] = ids[a:b].tobytes()
             return b"".join(map(self.ids.__getitem__, parts)) + self.end
 
 
@@ -123,19 +138,18 @@ def predictions(ids: np.ndarray) -> tuple[np.ndarray, ...]:
     lanes, n = ids.shape
     prev1 = np.concatenate([np.zeros((lanes, 1), np.int64), ids[:, :-1]], axis=1)
     prev2 = np.concatenate([np.zeros((lanes, 1), np.int64), prev1[:, :-1]], axis=1)
-    out, flat = [], ids.ravel()
-    for slot in _slots(prev2.ravel(), prev1.ravel()):
-        key = np.repeat(np.arange(lanes), n) << SLOTS | slot
-        order = np.argsort(key, kind="stable")
-        k, f = key[order], flat[order]
-        pred, conf = np.full(len(k), -1, np.int64), np.zeros(len(k), np.int64)
-        one = np.flatnonzero(k[1:] == k[:-1]) + 1
-        pred[one], conf[one] = f[one - 1], 1
-        two = np.flatnonzero((k[2:] == k[:-2]) & (f[1:-1] == f[:-2])) + 2
-        conf[two] = 2
+    out = []
+    for slot in _slots(prev2, prev1):
+        order = np.argsort(slot.astype(np.uint16), axis=1, kind="stable")  # short keys: a radix sort
+        k, f = np.take_along_axis(slot, order, 1), np.take_along_axis(ids, order, 1)
+        pred, conf = np.full((lanes, n), -1, np.int64), np.zeros((lanes, n), np.int64)
+        again = k[:, 1:] == k[:, :-1]
+        pred[:, 1:], conf[:, 1:] = np.where(again, f[:, :-1], -1), again
+        conf[:, 2:] += again[:, 1:] & again[:, :-1] & (f[:, 1:-1] == f[:, :-2])
         p, c = np.empty_like(pred), np.empty_like(conf)
-        p[order], c[order] = pred, conf
-        out += [p.reshape(lanes, n), c.reshape(lanes, n)]
+        np.put_along_axis(p, order, pred, 1)
+        np.put_along_axis(c, order, conf, 1)
+        out += [p, c]
     return tuple(out)
 
 
@@ -145,30 +159,37 @@ _TOP, _BOTTOM, _MASK = np.uint64(1 << 32), np.uint64(1 << 20), np.uint64((1 << 4
 _BITS, _WORD, _FIRST = np.uint64(12), np.uint64(16), np.uint64((1 << 48) - 1)
 
 
-class RangeEncoder:
+class _Interval:
+    """Interval arithmetic of all lanes; move() is called for the lanes whose next 16 bits are known or forced."""
+
+    def __init__(self, lanes: int):
+        self.low, self.range, self.n = np.zeros(lanes, np.uint64), np.full(lanes, _FIRST), np.zeros(lanes, np.int64)
+
+    def narrow(self, start: np.ndarray, freq: np.ndarray) -> None:
+        r = self.range >> _BITS
+        low = self.low
+        low += start.view(np.uint64) * r
+        r *= freq.view(np.uint64)
+        x = low ^ (low + r)
+        at = np.flatnonzero((x < _TOP) | (r < _BOTTOM))
+        while len(at):
+            l, k = low[at], r[at]
+            k = np.where((l ^ (l + k)) < _TOP, k, _BOTTOM - (l & (_BOTTOM - np.uint64(1))))
+            self.move(at, l)
+            l, k = (l << _WORD) & _MASK, k << _WORD
+            low[at], r[at] = l, k
+            at = at[((l ^ (l + k)) < _TOP) | (k < _BOTTOM)]
+        self.range = r
+
+
+class RangeEncoder(_Interval):
     def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _FIRST)
-        self.out, self.n, self.all = np.zeros((lanes, room), np.uint16), np.zeros(lanes, np.int64), np.arange(lanes)
-
-    def put(self, at: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        low, r = self.low[at], self.range[at] >> _BITS
-        low = low + start.astype(np.uint64) * r
-        r = r * freq.astype(np.uint64)
-        while True:
-            settled = ((low ^ (low + r)) & _MASK) < _TOP
-            settled &= (low + r) <= _MASK
-            small = r < _BOTTOM
-            go = settled | small
-            if not go.any():
-                break
-            cut = small & ~settled
-            r = np.where(cut, (_BOTTOM - (low & (_BOTTOM - np.uint64(1)))), r)
-            w = at[go]
-            self.out[w, self.n[w]] = (low[go] >> np.uint64(32)).astype(np.uint16)
-            self.n[w] += 1
-            low = np.where(go, (low << _WORD) & _MASK, low)
-            r = np.where(go, r << _WORD, r)
-        self.low[at], self.range[at] = low, r
+        super().__init__(lanes)
+        self.out, self.all = np.zeros((lanes, room), np.uint16), np.arange(lanes)
+
+    def move(self, at: np.ndarray, low: np.ndarray) -> None:
+        self.out[at, self.n[at]] = low >> np.uint64(32)
+        self.n[at] += 1
 
     def finish(self) -> list[bytes]:
         for shift in (32, 16, 0):
@@ -177,37 +198,21 @@ class RangeEncoder:
         return [self.out[i, :k].tobytes() for i, k in enumerate(self.n.tolist())]
 
 
-class RangeDecoder:
+class RangeDecoder(_Interval):
     def __init__(self, data: list[bytes]):
-        lanes = len(data)
-        self.words = np.zeros((lanes, max(len(d) for d in data) // 2 + 8), np.uint64)
+        super().__init__(len(data))
+        self.words = np.zeros((len(data), max(len(d) for d in data) // 2 + 8), np.uint64)
         for i, d in enumerate(data):
             self.words[i, : len(d) // 2] = np.frombuffer(d, "<u2")
-        self.low, self.range, self.n = np.zeros(lanes, np.uint64), np.full(lanes, _FIRST), np.full(lanes, 3)
+        self.n += 3
         self.code = self.words[:, 0] << np.uint64(32) | self.words[:, 1] << np.uint64(16) | self.words[:, 2]
 
-    def value(self, at: np.ndarray) -> np.ndarray:
-        return np.minimum((self.code[at] - self.low[at]) // (self.range[at] >> _BITS), np.uint64(TOTAL - 1)).astype(np.int64)
-
-    def take(self, at: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        low, r, code = self.low[at], self.range[at] >> _BITS, self.code[at]
-        low = low + start.astype(np.uint64) * r
-        r = r * freq.astype(np.uint64)
-        while True:
-            settled = ((low ^ (low + r)) & _MASK) < _TOP
-            settled &= (low + r) <= _MASK
-            small = r < _BOTTOM
-            go = settled | small
-            if not go.any():
-                break
-            cut = small & ~settled
-            r = np.where(cut, (_BOTTOM - (low & (_BOTTOM - np.uint64(1)))), r)
-            w = at[go]
-            code[go] = (code[go] << _WORD) & _MASK | self.words[w, self.n[w]]
-            self.n[w] += 1
-            low = np.where(go, (low << _WORD) & _MASK, low)
-            r = np.where(go, r << _WORD, r)
-        self.low[at], self.range[at], self.code[at] = low, r, code
+    def move(self, at: np.ndarray, low: np.ndarray) -> None:
+        self.code[at] = (self.code[at] << _WORD) & _MASK | self.words[at, self.n[at]]
+        self.n[at] += 1
+
+    def value(self) -> np.ndarray:
+        return np.minimum((self.code - self.low) // (self.range >> _BITS), np.uint64(TOTAL - 1)).view(np.int64)
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -222,12 +227,12 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         e, i, context = event[:, part], ids[:, part], 3 * k2[:, part] + k1[:, part]
         a, b = model.event_start[every[:, None], context, e], model.event_start[every[:, None], context, e + 1]
         bytes_ = [(s[every[:, None], x], s[every[:, None], x + 1]) for s, x in zip(model.byte_start, (i >> 8, i & 255))]
+        plain = e < 2  # a predicted id has no bytes: the whole interval stands for them
+        steps = [(a, b - a), *((np.where(plain, 0, s), np.where(plain, TOTAL, z - s)) for s, z in bytes_)]
+        steps = [(np.ascontiguousarray(s.T), np.ascontiguousarray(f.T)) for s, f in steps]
         for t in range(i.shape[1]):
-            coder.put(every, a[:, t], b[:, t] - a[:, t])
-            out = np.flatnonzero(e[:, t] == 2)
-            if len(out):
-                for s, z in bytes_:
-                    coder.put(out, s[out, t], z[out, t] - s[out, t])
+            for s, f in steps:
+                coder.narrow(s[t], f[t])
         if part.stop < n:
             model.advance(i, e, k2[:, part], k1[:, part])
     return coder.finish()
@@ -240,29 +245,29 @@ def decode_blocks(data: list[bytes], n: int) -> np.ndarray:
     last = [np.full((lanes, 1 << SLOTS), -1, np.int32) for _ in range(2)]
     sure = [np.zeros((lanes, 1 << SLOTS), np.int8) for _ in range(2)]
     prev2, prev1 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    row, edge_row = every * TOTAL, every * 257
     for at in range(0, n, CHUNK):
         width = min(CHUNK, n - at)
         event, c2, c1 = (np.zeros((lanes, width), np.int64) for _ in range(3))
-        lookup = [np.repeat(np.tile(np.arange(256, dtype=np.uint8), lanes), np.diff(s, axis=1).ravel()).reshape(lanes, TOTAL) for s in model.byte_start]
+        lookup = [np.repeat(np.tile(np.arange(256, dtype=np.uint8), lanes), np.diff(s, axis=1).ravel()) for s in model.byte_start]
+        edges = [s.ravel() for s in model.byte_start]
         for t in range(width):
             s2, s1 = _slots(prev2, prev1)
             p2, p1 = last[0][every, s2], last[1][every, s1]
             k2, k1 = sure[0][every, s2].astype(np.int64), sure[1][every, s1].astype(np.int64)
             starts = model.event_start[every, 3 * k2 + k1]
-            v = coder.value(every)
+            v = coder.value()
             e = (v >= starts[:, 1]).astype(np.int64) + (v >= starts[:, 2])
             a = starts[every, e]
-            coder.take(every, a, starts[every, e + 1] - a)
-            now = np.where(e == 0, p2, p1).astype(np.int64)
-            out = np.flatnonzero(e == 2)
-            if len(out):
-                byte = []
-                for table_, s in zip(lookup, model.byte_start):
-                    x = table_[out, coder.value(out)].astype(np.int64)
-                    a = s[out, x]
-                    coder.take(out, a, s[out, x + 1] - a)
-                    byte.append(x)
-                now[out] = byte[0] << 8 | byte[1]
+            coder.narrow(a, starts[every, e + 1] - a)
+            plain, byte = e < 2, []
+            for table_, s in zip(lookup, edges):
+                x = table_[row + coder.value()].astype(np.int64)
+                at_ = edge_row + x
+                a = s[at_]
+                coder.narrow(np.where(plain, 0, a), np.where(plain, TOTAL, s[at_ + 1] - a))
+                byte.append(x)
+            now = np.where(e == 0, p2, np.where(e == 1, p1, byte[0] << 8 | byte[1])).astype(np.int64)
             ids[:, at + t] = now
             event[:, t], c2[:, t], c1[:, t] = e, k2, k1
             for m, k, s, p in ((last[0], sure[0], s2, p2), (last[1], sure[1], s1, p1)):
@@ -326,7 +331,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str | None = N
     ends = sorted(set(ends or []))
 
     def run(batches):
-        t = Encoder(tok)
+        t = worker_encoder(tok)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
