@@ -16,6 +16,7 @@ import struct
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from sedimenta.llm.common import map_rows, table
 
@@ -94,7 +95,7 @@ def encode_documents(documents: DataFrame, model_path: str | None = None) -> Dat
     """The columns of documents, and ids (begin and end included), n_tokens and decoded. Columns of those names are replaced."""
     path = model_path or default_model()
     kept = documents.drop("ids", "n_tokens", "decoded")
-    schema = kept.schema.add("ids", "array<int>").add("n_tokens", "long").add("decoded", "string")
+    schema = StructType([*kept.schema, StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("decoded", StringType())])
 
     def run(batches):
         import numpy as np
