@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from sedimenta.plans import relational, warehouse
+
 
 def queries() -> dict:
-    return {}
+    return relational.queries() | warehouse.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return relational.oracle_sql() | warehouse.oracle_sql()
