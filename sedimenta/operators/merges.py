@@ -12,6 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Where the first version of a type-2 member begins.
+FIRST_DATE = "1900-01-01"
+#: Ranges in which new members are numbered side by side.
+RANGES = 64
+
+
 def _same(left: str, right: str, columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 
@@ -50,15 +56,27 @@ def scd1(current: DataFrame, incoming: DataFrame, key: str, surrogate: str) -> D
     return with_surrogates(merged, current, key, surrogate)
 
 
-def with_surrogates(rows: DataFrame, current: DataFrame, key: str, surrogate: str) -> DataFrame:
-    """Numbers the rows without a surrogate upwards from the greatest. Only the new members are ranked."""
+def with_surrogates(rows: DataFrame, current: DataFrame, key: str | list[str], surrogate: str) -> DataFrame:
+    """Numbers the rows without a surrogate upwards from the greatest, in key order. Only new members are ranked.
+
+    The first key column is cut into ranges at quantiles; each range is ranked on its own and starts where the ones
+    before it end. Only the cuts and a count for each range are gathered.
+    """
+    keys = [key] if isinstance(key, str) else key
     top = current.agg(F.coalesce(F.max(surrogate), F.lit(0)).cast("long")).first()[0]
     new = rows.where(F.col(surrogate).isNull())
-    ranked = new.withColumn(surrogate, (F.row_number().over(Window.orderBy(key)) + F.lit(top)).cast("long"))
-    return rows.where(F.col(surrogate).isNotNull()).unionByName(ranked)
-
-
-def scd2(current: DataFrame, incoming: DataFrame, key: str, tracked: list[str], type1: list[str], change_date: str, first_date: str = "1900-01-01") -> DataFrame:
+    cuts = new.agg(F.percentile_approx(F.col(keys[0]).cast("double"), [i / RANGES for i in range(1, RANGES)])).first()[0] or []
+    place = F.lit(0)
+    for cut in sorted(set(cuts)):
+        place = place + (F.col(keys[0]).cast("double") > F.lit(cut)).cast("int")
+    new = new.withColumn("_range", place)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
+    starts = new.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    ranked = new.join(F.broadcast(starts), "_range").withColumn(surrogate, (F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) + F.col("_start") + F.lit(top)).cast("long"))
+    return rows.where(F.col(surrogate).isNotNull()).unionByName(ranked.select(rows.columns))
+
+
+def scd2(current: DataFrame, incoming: DataFrame, key: str, tracked: list[str], type1: list[str], change_date: str, first_date: str = FIRST_DATE) -> DataFrame:
     """Type-2 dimension (effective_from, effective_to, is_current) after a batch of one row for each key.
 
     In this order: type-1 columns are overwritten in every version; a tracked change dated no later than the current
