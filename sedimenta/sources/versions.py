@@ -34,7 +34,8 @@ def since(df: DataFrame, column: str, after, upto=None) -> DataFrame:
 
 
 class Table:
-    """Readers see the version that the pointer names; a failed write leaves the pointer where it was."""
+    """Readers see the version that the pointer names. A version that fails to be written leaves the pointer where it was;
+    the pointer itself is deleted and written, so a crash between the two loses it, though no version."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
