@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -61,6 +62,22 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which what the task has freed goes back to the system. Python workers outlive their tasks, and
+    allocators would keep the memory of each stage's largest task for as long."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return inner
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict] | list[dict]]], schema: str, rows: int = 512) -> DataFrame:
     """mapInArrow row by row: make() runs once a task and gives the function from a row to its output rows."""
     from pyspark.sql.types import _parse_datatype_string
@@ -80,7 +97,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict] |
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=kind)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def bounded_labels(labels: DataFrame, column: str, limit: int, folds: int, value: int | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import LOWER, table
+from sedimenta.llm.common import LOWER, table, trimmed
 
 WINDOW = 10
 #: Words of a shard before its index is built, benchmark words in a broadcast block, and the distance of suffix samples.
@@ -239,7 +239,7 @@ def find(documents: DataFrame, items: DataFrame) -> DataFrame:
             yield out()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, n_words long, spans array<array<int>>, items array<string>")
+    return rows.mapInArrow(trimmed(run), "doc_id long, text_key long, n_words long, spans array<array<int>>, items array<string>")
 
 
 def merge_blocks(parts: list[DataFrame]) -> DataFrame:
@@ -320,4 +320,4 @@ def _removed(documents: DataFrame, items: DataFrame, kind) -> DataFrame:
         if rows:
             yield out()
 
-    return documents.mapInArrow(run, kind)
+    return documents.mapInArrow(trimmed(run), kind)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from sedimenta.llm.common import map_rows, table
+from sedimenta.llm.common import map_rows, table, trimmed
 
 TABLE_ROWS = 200_000
 CHUNK = re.compile(r" +[^ ]*")
@@ -115,4 +115,4 @@ def encode_documents(documents: DataFrame, model_path: str | None = None) -> Dat
                 ids = pa.ListArray.from_arrays(offsets, np.concatenate(arrays) if arrays else np.array([], np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(np.diff(offsets), pa.int64()), pa.array(texts, pa.string())], names=[*part.schema.names, "ids", "n_tokens", "decoded"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(trimmed(run), schema)

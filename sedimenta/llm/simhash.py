@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import LOWER, SPACE_WORDS_B, dropped, saved, table
+from sedimenta.llm.common import LOWER, SPACE_WORDS_B, dropped, saved, table, trimmed
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 BLOCKS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
@@ -58,7 +58,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
                 fps = np.array([fingerprint(t) for t in part.column("text").to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], schema=kind)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def near_pairs(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +151,7 @@ def links(classes: DataFrame, part: int = PART) -> DataFrame:
             yield out()
 
     dealt = grouped.repartition("t", "k", "g", "h").sortWithinPartitions("t", "k", "g", "h", "fp")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import SPACE_WORDS, SPACE_WORDS_B, dropped, saved, table
+from sedimenta.llm.common import SPACE_WORDS, SPACE_WORDS_B, dropped, saved, table, trimmed
 
 FACTOR, GRAM = 50, 10
 TABLE_ROWS = 150_000
@@ -128,7 +128,7 @@ def passages(documents: DataFrame, factor: int = FACTOR, gram: int = GRAM) -> Da
                     yield pa.RecordBatch.from_arrays([_signed(a), _signed(c1), _signed(c2), pa.array(np.concatenate(ids)), pa.array(np.concatenate(tks)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["a", "c1", "c2", "doc_id", "tk", "s", "n"])
 
     rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def _seeds(wanted: DataFrame, documents: DataFrame, factor: int) -> DataFrame:
@@ -148,7 +148,7 @@ def _seeds(wanted: DataFrame, documents: DataFrame, factor: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([_signed(w1), _signed(w2), pa.array(ids), pa.array(tks), pa.array(s.astype(np.int32))], names=["w1", "w2", "doc_id", "tk", "s"])
 
     text = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
-    return text.join(wanted, ["doc_id", "tk"]).select("doc_id", "tk", "text", "p").mapInArrow(run, "w1 long, w2 long, doc_id long, tk long, s int")
+    return text.join(wanted, ["doc_id", "tk"]).select("doc_id", "tk", "text", "p").mapInArrow(trimmed(run), "w1 long, w2 long, doc_id long, tk long, s int")
 
 
 def factors(documents: DataFrame, factor: int = FACTOR, gram: int = GRAM) -> DataFrame:
@@ -229,7 +229,7 @@ def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
                     out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256"]) if out else pa.RecordBatch.from_pylist([], schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]))
 
-    return _with_factors(docs, ["doc_id", "text"]).mapInArrow(run, schema)
+    return _with_factors(docs, ["doc_id", "text"]).mapInArrow(trimmed(run), schema)
 
 
 def cut_repeats(documents: DataFrame) -> DataFrame:
@@ -260,4 +260,4 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
                             row["n_chars"] = len(row["text"])
                 yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    return _with_factors(documents, columns).mapInArrow(run, schema)
+    return _with_factors(documents, columns).mapInArrow(trimmed(run), schema)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import bounded_labels, dropped, hold_out, map_rows, saved, table
+from sedimenta.llm.common import bounded_labels, dropped, hold_out, map_rows, saved, table, trimmed
 
 FOLDS = 5
 #: Bounds of the fitted model: labelled rows looked at, and lexicon entries.
@@ -219,4 +219,4 @@ def reject_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5
                 z = [sum(a * b for a, b in zip(curve, _features(*measure(auto, t)))) for t in part.column("text").to_pylist()]
                 yield part.filter(pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) < threshold for v in z]))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(trimmed(run), documents.schema)
