@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.plans import gold
+from sedimenta.plans import gold, views
 from sedimenta.plans.entities import ENTITIES, spec_of
 from sedimenta.plans.medallion import Warehouse, change_set, cleansed, typed_rows
 from sedimenta.sources.versions import parse_spec
@@ -184,3 +184,23 @@ def test_inventory_daily_snapshot_and_its_extension(spark, silver, dims):
     new = gold.inventory_daily_snapshot(silver, *dims, "2026-01-01", "2026-01-05", targets)
     both = old.join(changed, "inventory_id", "left_anti").select(new.columns).unionByName(new)
     assert sorted(map(tuple, both.collect())) == sorted(map(tuple, whole.select(new.columns).collect()))
+
+
+def test_views_over_the_star_schema(spark, silver, dims):
+    dates = gold.dim_date(spark, "2026-01-01", "2026-02-15")
+    plans = views.with_members(dims["subscription_plan"], "subscription_plan_key", {0: {"plan_name": "No plan"}, -1: {"plan_name": "Unknown"}})
+    star = dims | {"date": dates, "month": gold.dim_month(dates), "subscription_plan": plans}
+    star["customer_daily_activity"] = gold.customer_daily_activity(silver, dims["customer"], dims["subscription_plan"], dates)
+    star["content_monthly_performance"] = gold.content_monthly_performance(silver, dims["content"])
+    star["inventory_daily_snapshot"] = gold.inventory_daily_snapshot(silver, dims["inventory_item"], dims["content"], dims["warehouse"], "2026-01-01", "2026-01-05")
+    got = {n: v(star).collect() for n, v in views.VIEWS.items()}
+    assert all(not {"email", "phone", "date_of_birth", "full_name"} & set(v(star).columns) for v in views.VIEWS.values())
+    a = {(r["customer_id"], str(r["activity_date"])): r for r in got["customer_daily_activity"]}
+    assert len(a) == 7 and a[1, "2026-01-01"]["streamed_and_rented_same_day"] and a[2, "2026-01-01"]["subscription_plan"] == "No plan"
+    assert sorted((r["performance_month"], r["content_id"], r["popularity_rank_in_month"]) for r in got["content_monthly_performance"]) == [("2026-01", 7, 1), ("2026-01", 8, 2), ("2026-02", 7, 1)]
+    assert len(got["inventory_daily_utilisation"]) == 7
+    assert sorted((r["warehouse_name"], r["items_in_service"], r["item_days_rented"], r["utilisation_pct"]) for r in got["warehouse_utilisation_monthly"]) == [("North", 1, 5, Decimal("100.00")), ("South", 1, 1, Decimal("50.00"))]
+    k = {r["month"]: r for r in got["monthly_business_kpis"]}
+    assert sorted(k) == ["2026-01", "2026-02"] and k["2026-02"]["inventory_utilisation_pct"] is None and k["2026-02"]["revenue_per_active_customer"] is None
+    r = k["2026-01"]
+    assert (r["active_customers"], r["streaming_hours"], r["refunds"], r["inventory_utilisation_pct"], r["revenue_per_active_customer"]) == (2, Decimal("2.0"), Decimal("4.00"), Decimal("85.71"), Decimal("5.00"))
