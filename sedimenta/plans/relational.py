@@ -87,7 +87,7 @@ QUERIES = {
     "ratio_and_weighted_avg": lambda d: f"SELECT p_brand, {pct(d, 'sum(CASE WHEN l_returnflag = ' + chr(39) + 'R' + chr(39) + ' THEN 1 ELSE 0 END)', 'count(*)')} AS returned_bp, CASE WHEN sum(CAST(l_quantity AS BIGINT)) > 0 THEN CAST({d.idiv('2 * sum(CAST(p_size AS BIGINT) * CAST(l_quantity AS BIGINT)) * 100 + sum(CAST(l_quantity AS BIGINT))', '2 * sum(CAST(l_quantity AS BIGINT))')} AS BIGINT) END AS weighted_size FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand",
     "avg_in_cents": lambda d: f"SELECT c_mktsegment, CAST({d.idiv('2 * sum(' + cents('c_acctbal + 10000') + ') + count(*)', '2 * count(*)')} AS BIGINT) AS avg_cents FROM customer GROUP BY 1",
     "two_level_reaggregation": lambda d: f"WITH daily AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, CAST(count(*) AS BIGINT) AS active_days, CAST(max(n) AS BIGINT) AS busiest, CAST(sum(n) AS BIGINT) AS n_events FROM daily GROUP BY user_id",
-    "pool_allocation": lambda d: f"WITH part_m AS (SELECT {MONTH} AS month_key, l_partkey, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey <= 200 GROUP BY 1, 2), pool AS (SELECT {MONTH} AS month_key, sum({cents('o_totalprice')}) AS cents FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), tot AS (SELECT month_key, sum(q) AS tq FROM part_m GROUP BY 1) SELECT p.month_key, p.l_partkey, CAST({d.idiv('2 * CAST(cents AS DECIMAL(30,0)) * q + tq', '2 * tq') if d is Spark else 'CAST((2 * CAST(cents AS HUGEINT) * q + tq) // (2 * tq) AS BIGINT)'} AS BIGINT) AS allocated_cents FROM part_m p JOIN tot USING (month_key) LEFT JOIN pool USING (month_key)",
+    "pool_allocation": lambda d: f"WITH part_m AS (SELECT {MONTH} AS month_key, l_partkey, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey {'' if d is Spark else 'WHERE l_partkey <= 200 '}GROUP BY 1, 2), pool AS (SELECT {MONTH} AS month_key, sum({cents('o_totalprice')}) AS cents FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), tot AS (SELECT month_key, sum(q) AS tq FROM part_m GROUP BY 1) SELECT p.month_key, p.l_partkey, CAST({d.idiv('2 * CAST(cents AS DECIMAL(30,0)) * q + tq', '2 * tq') if d is Spark else 'CAST((2 * CAST(cents AS HUGEINT) * q + tq) // (2 * tq) AS BIGINT)'} AS BIGINT) AS allocated_cents FROM part_m p JOIN tot USING (month_key) LEFT JOIN pool USING (month_key)",
     "table_fingerprint": lambda d: (f"SELECT CAST(count(*) AS BIGINT) AS n, md5(listagg(concat(n_nationkey, '|', n_name, '|', n_regionkey), ';') WITHIN GROUP (ORDER BY n_nationkey)) AS fingerprint FROM nation" if d is Spark else "SELECT CAST(count(*) AS BIGINT) AS n, md5(string_agg(n_nationkey || '|' || n_name || '|' || n_regionkey, ';' ORDER BY n_nationkey)) AS fingerprint FROM nation"),
     "rank_in_month": lambda d: f"SELECT * FROM (SELECT month_key, n_name, cents, CAST(rank() OVER (PARTITION BY month_key ORDER BY cents DESC) AS BIGINT) AS rnk FROM (SELECT {MONTH} AS month_key, n_name, CAST(sum({cents('o_totalprice')}) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) t) u WHERE rnk <= 3",
     "dense_rank_global": lambda d: f"SELECT p_brand, CAST(dense_rank() OVER (ORDER BY top_cents) AS BIGINT) AS tier FROM (SELECT p_brand, max({cents('p_retailprice')}) AS top_cents FROM part GROUP BY p_brand) t",
