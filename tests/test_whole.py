@@ -29,3 +29,7 @@ def check(spark, duck, name, sql):
 
 def test_pool_allocation_over_all_parts(spark, duck):
     check(spark, duck, "pool_allocation", ORACLE["pool_allocation"].replace("WHERE l_partkey <= 200 ", ""))
+
+
+def test_scd1_merges_all_members(spark, duck):
+    check(spark, duck, "scd1_merge", ORACLE["scd1_merge"].replace("c_custkey < 400 AND ", "").replace(" WHERE c_custkey < 400", ""))
