@@ -104,16 +104,17 @@ def scd2_asof_join(spark, d):
     return joins.versions_asof(e, _versions(_t(spark, d, "orders")), "k", "on_day").select("o_orderkey", "version_order", F.coalesce("priority", F.lit("Unknown")).alias("priority"))
 
 
-SNAP_FROM, SNAP_TO = "1995-01-01", "1995-03-31"
+SNAP_FROM, SNAP_TO = "1995-01-01", "1995-03-31"  # of the DuckDB text only
 
 
 def _snapshot(spark, d) -> DataFrame:
-    lo, hi = F.lit(SNAP_FROM).cast("date"), F.lit(SNAP_TO).cast("date")
+    """One row an item and day, from the item's first day to the last order's, as the reference's window has it."""
     loans = _t(spark, d, "orders").select(F.col("o_custkey").alias("item"), _day("o_orderdate").alias("b"), F.date_add(_day("o_orderdate"), (F.col("o_orderkey") % 14).cast("int")).alias("e"), (F.col("o_orderpriority") == "1-URGENT").alias("late"))
+    window = F.broadcast(loans.agg(F.max("b").alias("hi")))
     items = loans.groupBy("item").agg(F.min("b").alias("first_day"))
     # on loan from the first day up to the day before the return, one day at least; overlapping loans of an item count once
-    busy = loans.select("item", "late", F.explode(joins.days_between(F.greatest("b", lo), F.least(F.greatest("b", F.date_sub("e", 1)), hi))).alias("day")).groupBy("item", "day").agg(F.bool_or("late").alias("overdue"))
-    dense = items.select("item", F.explode(joins.days_between(F.greatest("first_day", lo), hi)).alias("day"))
+    busy = loans.crossJoin(window).select("item", "late", F.explode(joins.days_between(F.col("b"), F.least(F.greatest("b", F.date_sub("e", 1)), "hi"))).alias("day")).groupBy("item", "day").agg(F.bool_or("late").alias("overdue"))
+    dense = items.crossJoin(window).select("item", F.explode(joins.days_between(F.col("first_day"), F.col("hi"))).alias("day"))
     return dense.join(busy, ["item", "day"], "left").select("item", "day", F.col("overdue").isNotNull().cast("int").alias("on_loan"), F.coalesce(F.col("overdue"), F.lit(False)).cast("int").alias("overdue"))
 
 
