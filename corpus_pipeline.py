@@ -19,7 +19,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document of the smallest id stays."""
+    """Of each component of linked fingerprints one row stays, that of the smallest id; an id may stand on several rows."""
     return simhash.keep_one(docs)
 
 

@@ -9,7 +9,7 @@ its counters have passed the radius. A group emits links of a spanning forest, n
 from alternating star steps over tables in the shared folder.
 
 Texts without words have the fingerprint zero; they are linked like any other. Null ids keep their row and are
-ignored when the smallest id of a component is chosen.
+ignored when the smallest id of a component is chosen. keep_one knows rows by id, text and columns, not by id alone.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.common import LOWER, SPACE_WORDS_B, dropped, saved, table, trimmed
@@ -47,18 +47,19 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(totals * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every row."""
+def fingerprints(documents: DataFrame, text_key: Column | None = None, row_key: Column | None = None) -> DataFrame:
+    """doc_id, text_key and row_key (null unless given), and fp, the fingerprint as a signed long, of every row."""
 
     def run(batches):
-        kind = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+        kind = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("row_key", pa.int64()), ("fp", pa.int64())])
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 fps = np.array([fingerprint(t) for t in part.column("text").to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], schema=kind)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(fps.view(np.int64))], schema=kind)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, fp long")
+    keys = [F.lit(None).cast(k).alias(n) if c is None else c.alias(n) for c, k, n in ((text_key, "string", "text_key"), (row_key, "long", "row_key"))]
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, "text").mapInArrow(trimmed(run), "doc_id long, text_key string, row_key long, fp long")
 
 
 def near_pairs(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -191,10 +192,19 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """documents, all columns, with the row of the smallest id of each component; of rows that share it, one."""
+    """documents, all columns, with one row of each component: the one of the smallest id, null ids last. Of several
+    such rows the one that comes first by fingerprint and by hashes of its text and its columns stays."""
     import uuid
 
     mark = f"_{uuid.uuid4().hex[:8]}"
-    found = near_duplicates(documents).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias(mark)).distinct()
-    once = documents.join(found, documents["doc_id"].eqNullSafe(found[mark]), "left_semi")
-    return once.dropDuplicates(["doc_id"])
+    hashed = [f.name for f in documents.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    # rows equal in all three keys are repeats of one row, and any of them can stand for it
+    keys = {f"{mark}i": F.col("doc_id").cast("long"), f"{mark}t": F.coalesce(F.md5("text"), F.lit("")), f"{mark}r": F.xxhash64(*hashed)}
+    own = saved(fingerprints(documents, keys[f"{mark}t"], keys[f"{mark}r"]), "fingerprints")
+    label = saved(components(links(own.select("fp").distinct())), "labels")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "text_key", "row_key")
+    one = own.join(label, own["fp"] == label["node"], "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min(row).alias("_"))
+    one = one.select(F.col("_.doc_id").alias("i"), F.col("_.text_key").alias("t"), F.col("_.row_key").alias("r"))
+    keyed = documents.withColumns(keys)
+    once = keyed.join(one, keyed[f"{mark}i"].eqNullSafe(one["i"]) & (keyed[f"{mark}t"] == one["t"]) & (keyed[f"{mark}r"] == one["r"]), "left_semi")
+    return once.dropDuplicates(list(keys)).drop(*keys)

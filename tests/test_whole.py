@@ -74,3 +74,29 @@ def test_utilisation_over_the_whole_window(spark, snapshot):
     sums = {k: (sum(x for _, x in v), len(v), len({i for i, _ in v})) for k, v in want.items()}
     got = QUERIES["warehouse_utilisation_monthly"](spark, SMALL).collect()
     assert {(r["c_nationkey"], r["month_key"]): (r["loan_days"], r["days"], r["items"], r["utilisation_bp"]) for r in got} == {k: (n, m, i, (20000 * n + m) // (2 * m)) for k, (n, m, i) in sums.items()}
+
+
+def test_keep_one_keeps_a_row_of_each_component(spark):
+    import random
+
+    from sedimenta.llm import simhash
+
+    rng = random.Random(3)
+    prose = [" ".join(rng.choice(("rain", "stone", "river", "field")) + str(rng.randrange(99)) for _ in range(60)) for _ in range(12)]
+    # null ids with texts of their own, an id that stands on an own text and on a copy, repeats that differ elsewhere
+    data = [(2, prose[0], "a"), (5, prose[1], "a"), (5, prose[0], "a"), (7, prose[2], "z"), (7, prose[2], "b"), (7, prose[2], "b"), (None, prose[0], "a"), (9, None, "a"), (None, "", "a")]
+    data += [(None, prose[k], "n") for k in range(3, 12)] + [(None, prose[3], "n")]
+    near = [[(simhash.fingerprint(a[1]) ^ simhash.fingerprint(b[1])).bit_count() <= 2 for b in data] for a in data]
+    comp = list(range(len(data)))
+    for _ in data:
+        comp = [min(comp[b] for b in range(len(data)) if near[a][b]) for a in range(len(data))]
+    assert len(set(comp)) == 13
+    runs = []
+    for parts in (1, 5):
+        df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(parts)
+        runs.append(sorted(map(tuple, simhash.keep_one(df).collect()), key=repr))
+    got = runs[0]
+    assert runs[1] == got and all(r in data for r in got)
+    assert sorted(comp[data.index(r)] for r in got) == sorted(set(comp))
+    low = {c: min((data[k][0] for k in range(len(data)) if comp[k] == c and data[k][0] is not None), default=None) for c in set(comp)}
+    assert all(r[0] == low[comp[data.index(r)]] for r in got)
