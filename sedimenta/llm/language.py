@@ -2,7 +2,8 @@
 
 N-grams of one to three characters, of runs of letters with a blank at either side, are hashed into BUCKETS. Document
 frequencies come from every training document. Weights are learned by follow-the-regularised-leader with
-elastic-net penalties, per coordinate, on at most MAX_TRAIN training documents; a temperature fitted on a part of
+elastic-net penalties, per coordinate, on about MAX_TRAIN training documents, a uniform sample in which LEAST rows of
+each language that it would have fewer of stand instead (all where there are fewer); a temperature fitted on a part of
 them that the weights have not seen calibrates the probabilities.
 
 A null text or one without a letter is `und` with score 0. Rows with null lang teach nothing. If nothing can be
@@ -15,14 +16,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.llm.common import held_out_py, hold_out, table
 
 FOLDS, ORDERS, BUCKETS = 5, 3, 1 << 13
-#: Bounds of the fitted model: documents the weights are learned from, and languages.
-MAX_TRAIN, MAX_LANGS, PASSES = 3_000, 200, 3
+#: Documents the weights are learned from, about, and how often they are gone through.
+MAX_TRAIN, PASSES = 3_000, 3
+#: Rows of a language that the sample would have fewer of.
+LEAST = 30
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.5
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 HASHING = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -118,11 +121,17 @@ def fit(documents: DataFrame, max_train: int = MAX_TRAIN, folds: int = FOLDS) ->
     train = documents.where(~hold_out(F.col("doc_id"), folds) & F.col("lang").isNotNull())
     total = train.count()
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))  # few enough texts come to the driver, whatever the table's size
-    sample = train.where(share < int(1_000_000 * min(1.0, max_train / max(total, 1)))).select("doc_id", "text", "lang").limit(2 * max_train).collect()
+    part = min(1.0, max_train / max(total, 1))
+    seldom = [r["lang"] for r in train.groupBy("lang").count().where(F.col("count") * part < LEAST).collect()] if part < 1 else []
+    sample = train.where(share < int(1_000_000 * part)).where(~F.col("lang").isin(seldom)).select("doc_id", "text", "lang").limit(2 * max_train).collect()
+    if seldom:
+        order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
+        few = train.where(F.col("lang").isin(seldom)).select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text", "lang")
+        sample += few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEAST).orderBy("lang", "h").select("doc_id", "text", "lang").collect()
     df, n = document_frequencies(documents, folds)
     idf = np.log((n + 1.0) / (df + 1.0)) + 1.0
     got = [(r["lang"], r["doc_id"], g) for r in sample if (g := grams(r["text"])) is not None]
-    langs = sorted({lang for lang, _, _ in got})[:MAX_LANGS]
+    langs = sorted({lang for lang, _, _ in got})
     if not langs:
         return None
     rows = [(*features(g, idf), langs.index(lang)) for lang, _, g in got if lang in langs]

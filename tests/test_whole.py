@@ -155,3 +155,17 @@ def test_suffix_tree_is_whole(spark, monkeypatch, bounds):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in suffixtree.score(df, *suffixtree.learn(df)).collect()}
     assert all(math.isclose(got[i], x, rel_tol=1e-9) for i, x in enumerate(want))
+
+
+def test_language_learns_seldom_languages(spark):
+    import random
+
+    from sedimenta.llm import language
+
+    rng = random.Random(2)
+    # alphabets of their own: 600 rows of two languages, five rows of each of ten others
+    letters = {f"{c}{c}": [chr(0x100 + 40 * k + j) for j in range(12)] for k, c in enumerate("bcdefghijz")} | {"aa": list("etaoin"), "yy": list("шрдлук")}
+    prose = lambda lang: " ".join("".join(rng.choice(letters[lang]) for _ in range(5)) for _ in range(20))
+    data = [(k, prose(lang), lang) for k, lang in enumerate(["aa", "yy"] * 300 + [x for x in sorted(letters) if x not in ("aa", "yy")] * 5)]
+    model = language.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), max_train=60)
+    assert model["langs"] == sorted(letters)
