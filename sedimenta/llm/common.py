@@ -78,6 +78,13 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return inner
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `rows` rows, so that what is made of one is bounded by that many texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict] | list[dict]]], schema: str, rows: int = 512) -> DataFrame:
     """mapInArrow row by row: make() runs once a task and gives the function from a row to its output rows."""
     from pyspark.sql.types import _parse_datatype_string
