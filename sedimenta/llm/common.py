@@ -9,6 +9,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: writes df under the shared folder and reads it back."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -85,6 +86,43 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit over all."""
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
+def word_numbers(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (split by ASCII white space) of the texts, and how many words each text has.
+
+    All words of the texts are hashed together, eight bytes a step; words of up to eight bytes collide with none of
+    their length. lower: A to Z count as a to z.
+    """
+    encoded = [t.encode() if t else b"" for t in texts]
+    data = b" ".join([b"", *encoded, b"        "])
+    data = data.translate(LOWER) if lower else data
+    raw = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[raw].view(np.int8))) + 1
+    start, left = edge[::2], edge[1::2] - edge[::2]
+    begins = np.cumsum([1, *(len(e) + 1 for e in encoded)])
+    counts = np.diff(np.searchsorted(start, begins))
+    eight = np.ndarray((max(0, len(raw) - 7),), "<u8", data, strides=(1,))
+    h = left.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    at = np.arange(len(start))
+    while len(at):
+        h[at] = mixed(h[at] ^ eight[start[at]] & _FIRST_BYTES[np.minimum(left[at], 8)])
+        at = at[left[at] > 8]
+        start[at] += 8
+        left[at] -= 8
+    return h, counts
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict] | list[dict]]], schema: str, rows: int = 512) -> DataFrame:
     """mapInArrow row by row: make() runs once a task and gives the function from a row to its output rows."""
     from pyspark.sql.types import _parse_datatype_string
