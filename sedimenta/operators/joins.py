@@ -13,12 +13,6 @@ def versions_asof(events: DataFrame, versions: DataFrame, key: str, date: str, h
     return events.join(v, on, how).drop("_k")
 
 
-def latest_asof(left: DataFrame, right: DataFrame, key: str, upto: Column, order: list[Column], row_key: list[str]) -> DataFrame:
-    """Each left row with the right row of its key that comes first in `order` among those for which `upto` holds."""
-    ranked = left.join(right, [key], "left").where(upto | upto.isNull()).withColumn("_n", F.row_number().over(Window.partitionBy(*row_key).orderBy(*order)))
-    return ranked.where("_n = 1").drop("_n")
-
-
 def days_between(start: Column, end: Column) -> Column:
     """Every date from start to end; no element if start is later, where sequence() alone would fail or count backwards."""
     return F.when(start <= end, F.sequence(start, end, F.expr("interval 1 day"))).otherwise(F.array().cast("array<date>"))

@@ -24,13 +24,24 @@ def _same(left: str, right: str, columns: list[str]) -> Column:
 
 def insert_ignore(current: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
     """Rows of the batch whose key is new are added, one for each key; replaying a batch adds nothing."""
-    new = batch.dropDuplicates(key).join(current.select(key), key, "left_anti")
+    new = one_of_each(batch, key).join(current.select(key), key, "left_anti")
     return current.unionByName(new.select(current.columns))
 
 
+def one_of_each(batch: DataFrame, key: list[str]) -> DataFrame:
+    """One row of each key, of several the least by its values: an order that no layout of the input changes. Rows are
+    reduced before they are shuffled."""
+    rest = [c for c in batch.columns if c not in key]
+    if not rest:
+        return batch.distinct()
+    return batch.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, *[F.col(f"_r.`{c}`").alias(c) for c in rest]).select(batch.columns)
+
+
 def upsert(current: DataFrame, batch: DataFrame, key: list[str], stamps: list[str] = ()) -> DataFrame:
     """Batch rows replace those of their key. Columns that the batch lacks keep their value, and a row that only
-    differs in `stamps` keeps all of its old values, so that an identical delivery changes nothing."""
+    differs in `stamps` keeps all of its old values, so that an identical delivery changes nothing. Of several batch
+    rows of a key one counts (one_of_each), so that no key multiplies."""
+    batch = one_of_each(batch, key)
     compared = [c for c in batch.columns if c not in key and c not in stamps]
     both = current.withColumn("_old", F.lit(True)).alias("o").join(batch.withColumn("_new", F.lit(True)).alias("n"), key, "full_outer")
     unchanged = F.col("o._old") & F.col("n._new") & (_same("o", "n", compared) if compared else F.lit(True))
@@ -47,6 +58,22 @@ def delete_insert(current: DataFrame, rebuilt: DataFrame, keys: DataFrame) -> Da
     return current.join(keys.distinct(), keys.columns, "left_anti").unionByName(rebuilt.select(current.columns))
 
 
+def delete_between(current: DataFrame, keys: DataFrame, column: str, low, high) -> DataFrame:
+    """current without the rows whose key is in `keys` and whose `column` lies from low to high."""
+    names = keys.columns
+    gone = keys.distinct().select(*[F.col(k).alias(f"_g_{k}") for k in names])
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_g_{k}") for k in names])
+    return current.join(gone, same & F.col(column).between(F.lit(low), F.lit(high)), "left_anti")
+
+
+def update_from(current: DataFrame, other: DataFrame, key: list[str], columns: list[str], when: Column | None = None) -> DataFrame:
+    """Columns of current rows take the values that the row of their key in `other` has, where it has one (and `when` holds)."""
+    new = one_of_each(other.select(*key, *columns), key).select(*key, *[F.col(c).alias(f"_u_{c}") for c in columns], F.lit(True).alias("_u"))
+    hit = F.col("_u").isNotNull() if when is None else F.col("_u").isNotNull() & F.coalesce(when, F.lit(False))
+    j = current.join(new, key, "left")
+    return j.select(*[F.when(hit, F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in current.columns])
+
+
 def scd1(current: DataFrame, incoming: DataFrame, key: str, surrogate: str) -> DataFrame:
     """Type-1 dimension with `action`: inserted, updated or kept. New members get the next surrogate keys in key order."""
     attributes = [c for c in incoming.columns if c != key]

@@ -12,12 +12,6 @@ def split_valid(df: DataFrame, rules: list[tuple[str, Column]]) -> tuple[DataFra
     return checked.where("details = ''").drop("details"), checked.where("details <> ''")
 
 
-def typed(df: DataFrame, types: dict[str, str]) -> tuple[DataFrame, list[tuple[str, Column]]]:
-    """Casts text columns; the rules flag values that do not cast."""
-    rules = [(f"{c}: not a {t}", F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()) for c, t in types.items()]
-    return df.withColumns({f"{c}_typed": F.col(c).try_cast(t) for c, t in types.items()}), rules
-
-
 def scorecard(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     """rule, rows_hit: every rule of a table is counted in one scan."""
     counts = df.agg(*[F.count_if(c).alias(f"r{i}") for i, (_, c) in enumerate(rules)])

@@ -2,67 +2,98 @@
 
 A batch is first written under its id; everything else derives from that copy, so a batch that is started again does
 the same again. Bronze is one folder for each batch; silver and control tables switch versions (sources.versions).
-Control tables hold a row for each run, step, batch or distinct reject.
+Entities load side by side: a load writes its own folders only, and what loads report goes into the control tables
+together, watermarks last. Control tables hold a row for each run, step, batch or distinct reject.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions.text import flags
-from sedimenta.operators import joins, merges, quality
-from sedimenta.plans.entities import ENTITIES, FLAGGED, spec_of
-from sedimenta.sources.versions import Table, parse_spec, since
+from sedimenta.operators import joins, merges
+from sedimenta.plans.entities import FLAGGED, business_key, clean_columns, flag_rules, key_of, schema_of
+from sedimenta.sources.versions import Table, not_yet_loaded, since
 
 RUNS = "run_id long, pipeline string, full_refresh boolean, triggered_by string, status string, started_at timestamp_ntz, finished_at timestamp_ntz, error string"
-STEPS = "run_id long, step string, rows_inserted long, rows_updated long, rows_deleted long, note string"
+STEPS = "run_id long, step string, rows_inserted long, rows_updated long, rows_deleted long, seconds double, note string"
 AUDIT = "batch_id string, layer string, table_name string, n_rows long, loaded_at timestamp_ntz"
 MARKS = "name string, value timestamp_ntz"
 REJECTS = "payload_hash string, table_name string, reason string, details string, payload string, first_batch string, last_batch string, occurrence_count long"
+FAILED = "batch_id string, table_name string, error string, failed_at timestamp_ntz"
 KEEP_RUNS = 50
 STAMPED = ["_batch_id", "_loaded_at"]
 
 
 def typed_rows(raw: DataFrame, name: str) -> DataFrame:
-    """Text columns cast to the spec's types, with `details` naming missing and unreadable values; `payload` is the raw row.
+    """Columns cast to the schema's types, with `details` naming missing and unreadable values; `payload` is the raw row.
 
-    A column that the source lacks counts as null, one that the spec lacks is named in `details`.
+    A column that the source lacks counts as null, one that the schema lacks is named in `details`.
     """
-    spec = parse_spec(spec_of(name))
-    extra = [c for c in raw.columns if c not in {n for n, *_ in spec}]
+    schema = schema_of(name)
     out, wrong = [F.to_json(F.struct(*raw.columns)).alias("payload")], []
-    for column, kind, mandatory in spec:
-        text = F.nullif(F.col(column).cast("string"), F.lit("")) if column in raw.columns else F.lit(None).cast("string")
+    for f in schema:
+        kind = f.dataType.simpleString()
+        text = F.nullif(F.col(f.name).cast("string"), F.lit("")) if f.name in raw.columns else F.lit(None).cast("string")
         # integers may be staged as `1.0`
         value = text.try_cast("decimal(20,4)").try_cast(kind) if kind in ("bigint", "int") else text.try_cast(kind)
-        out.append(value.alias(column))
-        wrong.append(F.when(text.isNotNull() & value.isNull(), F.lit(f"{column}: not a {kind}")))
-        if mandatory:
-            wrong.append(F.when(text.isNull(), F.lit(f"{column} is missing")))
-    return raw.select(*out, F.concat_ws("; ", *wrong, *[F.lit(f"{c} is not in the schema") for c in extra]).alias("details"))
+        out.append(value.alias(f.name))
+        wrong.append(F.when(text.isNotNull() & value.isNull(), F.lit(f"{f.name}: not a {kind}")))
+        if not f.nullable:
+            wrong.append(F.when(text.isNull(), F.lit(f"{f.name} is missing")))
+    unknown = [F.lit(f"{c} is not in the schema") for c in raw.columns if c not in schema.names]
+    return raw.select(*out, F.concat_ws("; ", *wrong, *unknown).alias("details"))
 
 
 def cleansed(rows: DataFrame, name: str) -> DataFrame:
     """Clean columns and dq_flags; rules and flags both see raw values."""
-    e = ENTITIES[name]
-    replaced = e.clean()
-    return rows.select(*[replaced.get(c, F.col(c)).alias(c) for c, *_ in parse_spec(spec_of(name))], flags(e.flags()).alias("dq_flags") if e.flags() else F.lit(None).cast("string").alias("dq_flags"))
+    replaced, rules = clean_columns(name), flag_rules(name)
+    fired = flags(rules) if rules else F.lit(None).cast("string")
+    return rows.select(*[replaced.get(c, F.col(c)).alias(c) for c in schema_of(name).names], fired.alias("dq_flags"))
+
+
+def _keyed(rows: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
+    same = business_key(name)
+    names = [f"_k{i}" for i in range(len(same))]
+    return rows.withColumns(dict(zip(names, same))), names
 
 
 def flag_duplicates(silver: DataFrame, name: str, loaded_at: dt.datetime) -> DataFrame:
     """Marks all but the lowest id of each business key, over all of silver. Rows whose mark changes count as loaded anew."""
-    e = ENTITIES[name]
-    keys = [f"_k{i}" for i in range(len(e.same()))]
-    ranked = joins.ranked_duplicates(silver.drop("is_duplicate", "duplicate_of_id").withColumns(dict(zip(keys, e.same()))).withColumn("_was", F.lit(None)), keys, e.pk[0]).select(*e.pk, F.col("is_duplicate").alias("_dup"), F.col("duplicate_of_id").alias("_of"))
-    j = silver.join(ranked, list(e.pk))
+    key = key_of(name)
+    rows, names = _keyed(silver.drop("is_duplicate", "duplicate_of_id"), name)
+    ranked = joins.ranked_duplicates(rows, names, key[0]).select(*key, F.col("is_duplicate").alias("_dup"), F.col("duplicate_of_id").alias("_of"))
+    j = silver.join(ranked, key)
     moved = ~(F.col("is_duplicate").eqNullSafe(F.col("_dup")) & F.col("duplicate_of_id").eqNullSafe(F.col("_of")))
     return j.withColumns({"_loaded_at": F.when(moved, F.lit(loaded_at)).otherwise(F.col("_loaded_at")), "is_duplicate": F.col("_dup"), "duplicate_of_id": F.col("_of")}).select(silver.columns)
 
 
+@dataclass
+class Load:
+    """What one entity's load has done; `rejects` (reason, details, payload) is read from the folder it was written to."""
+
+    name: str
+    batch_id: str
+    loaded_at: dt.datetime
+    read: int = 0
+    rejected: int = 0
+    merged: int = 0
+    newest: dt.datetime | None = None
+    rejects: DataFrame | None = None
+    error: str | None = None
+    counts: dict[str, int] = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.counts = {"read": self.read, "rejected": self.rejected, "merged": self.merged}
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -74,51 +105,64 @@ class Warehouse:
         return self.spark.createDataFrame([], schema) if now is None else now
 
     def _set(self, name: str, df: DataFrame) -> None:
-        Table(self.spark, f"{self.root}/control/{name}").replace(df.coalesce(1))
+        Table(self.spark, f"{self.root}/control/{name}").replace(df)
 
     def _append(self, name: str, schema: str, rows: list[tuple]) -> None:
-        self._set(name, self.control(name, schema).unionByName(self.spark.createDataFrame(rows, schema)))
+        """Control tables but rejects are small: a row for each run, step, batch or mark."""
+        if rows:
+            self._set(name, self.control(name, schema).unionByName(self.spark.createDataFrame(rows, schema)).coalesce(1))
+
+    def marks(self) -> dict[str, dt.datetime]:
+        return {r["name"]: r["value"] for r in self.control("watermarks", MARKS).collect()}
 
     def mark(self, name: str) -> dt.datetime | None:
-        row = self.control("watermarks", MARKS).where(F.col("name") == name).first()
-        return row and row["value"]
+        return self.marks().get(name)
 
-    def advance(self, name: str, value: dt.datetime) -> None:
-        new = self.spark.createDataFrame([(name, value)], MARKS)
-        self._set("watermarks", merges.upsert(self.control("watermarks", MARKS), new, ["name"]))
+    def advance(self, marks: dict[str, dt.datetime]) -> None:
+        if marks:
+            new = self.spark.createDataFrame(list(marks.items()), MARKS)
+            self._set("watermarks", merges.upsert(self.control("watermarks", MARKS), new, ["name"]).coalesce(1))
 
-    def _runs(self, run_id: int, **values) -> None:
+    def _update_run(self, run_id: int, **values) -> None:
         runs = self.control("runs", RUNS)
-        hit = F.col("run_id") == run_id
-        types = dict(runs.dtypes)
-        self._set("runs", runs.select(*[F.when(hit, F.lit(values[c]).cast(types[c])).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in runs.columns]))
+        new = [tuple(values.get(c, v) if r["run_id"] == run_id else v for c, v in r.asDict().items()) for r in runs.collect()]
+        self._set("runs", self.spark.createDataFrame(new, RUNS).coalesce(1))
 
     @contextmanager
     def run(self, pipeline: str, now: dt.datetime, full_refresh: bool = False, triggered_by: str = "schedule"):
         """Yields the run id; ends as SUCCEEDED, or as FAILED with the error. Steps of runs beyond the last KEEP_RUNS go."""
-        last = self.control("runs", RUNS).agg(F.max("run_id")).first()[0] or 0
-        run_id = last + 1
+        run_id = (self.control("runs", RUNS).agg(F.max("run_id")).first()[0] or 0) + 1
         self._append("runs", RUNS, [(run_id, pipeline, full_refresh, triggered_by, "RUNNING", now, None, None)])
         try:
             yield run_id
         except Exception as e:
-            self._runs(run_id, status="FAILED", error=str(e)[:2000], finished_at=now)
+            self._update_run(run_id, status="FAILED", error=str(e)[:2000], finished_at=now)
             raise
-        self._runs(run_id, status="SUCCEEDED", finished_at=now)
-        self._set("steps", self.control("steps", STEPS).where(F.col("run_id") > run_id - KEEP_RUNS))
-
-    def log_step(self, run_id: int, step: str, inserted: int = 0, updated: int = 0, deleted: int = 0, note: str | None = None) -> None:
-        self._append("steps", STEPS, [(run_id, step, inserted, updated, deleted, note)])
-
-    def log_rejects(self, rejects: DataFrame, name: str, batch_id: str) -> None:
-        """rejects: reason, details, payload. One row for each distinct payload and reason; repeats raise its count.
-
-        The rows also go out as JSON, a folder for each table and batch.
-        """
-        rejects.write.mode("overwrite").json(f"{self.root}/rejected/{name}/{batch_id}")
-        new = rejects.groupBy(F.sha2(F.concat_ws("\n", F.lit(name), "reason", "payload"), 256).alias("payload_hash")).agg(
-            F.lit(name).alias("table_name"), F.first("reason").alias("reason"), F.first("details").alias("details"), F.first("payload").alias("payload"), F.lit(batch_id).alias("first_batch"), F.lit(batch_id).alias("last_batch"), F.count("*").alias("occurrence_count")
-        )
+        self._update_run(run_id, status="SUCCEEDED", finished_at=now)
+        steps = self.control("steps", STEPS)
+        if run_id > KEEP_RUNS and steps.where(F.col("run_id") <= run_id - KEEP_RUNS).limit(1).count():
+            self._set("steps", steps.where(F.col("run_id") > run_id - KEEP_RUNS).coalesce(1))
+
+    def log_steps(self, run_id: int, steps: Iterable[tuple]) -> None:
+        """(step, rows inserted, updated, deleted, seconds, note) each."""
+        self._append("steps", STEPS, [(run_id, *s) for s in steps])
+
+    def run_log(self) -> DataFrame:
+        """Runs with their duration in seconds and number of steps, the newest first."""
+        steps = self.control("steps", STEPS).groupBy("run_id").agg(F.count("*").alias("steps"), F.sum("seconds").alias("step_seconds"))
+        seconds = F.expr("timestampdiff(SECOND, started_at, finished_at)").alias("seconds")
+        return self.control("runs", RUNS).join(steps, "run_id", "left").select("run_id", "pipeline", "status", seconds, F.coalesce("steps", F.lit(0)).alias("steps"), "step_seconds", "error").orderBy(F.desc("run_id"))
+
+    def log_rejects(self, loads: list[Load]) -> None:
+        """One row for each distinct payload and reason of a table; repeats raise its count. Rejects of all loads go in together."""
+        parts = [x.rejects.select(F.lit(x.name).alias("table_name"), "reason", "details", "payload", F.lit(x.batch_id).alias("batch_id")) for x in loads if x.rejects is not None and x.rejected]
+        if not parts:
+            return
+        new = parts[0]
+        for p in parts[1:]:
+            new = new.unionByName(p)
+        key = F.sha2(F.concat_ws("\n", "table_name", "reason", "payload"), 256).alias("payload_hash")
+        new = new.groupBy(key).agg(*[F.min(c).alias(c) for c in ("table_name", "reason", "details", "payload")], F.min("batch_id").alias("first_batch"), F.max("batch_id").alias("last_batch"), F.count("*").alias("occurrence_count"))
         both = self.control("rejects", REJECTS).withColumn("_n", F.lit(0)).unionByName(new.withColumn("_n", F.lit(1)))
         keep = [F.min_by(c, "_n").alias(c) for c in ("table_name", "reason", "details", "payload", "first_batch")]
         self._set("rejects", both.groupBy("payload_hash").agg(*keep, F.max_by("last_batch", "_n").alias("last_batch"), F.sum("occurrence_count").alias("occurrence_count")))
@@ -134,51 +178,92 @@ class Warehouse:
         exists = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
         return self.spark.read.option("basePath", path).parquet(f"{path}/_batch_id=*") if exists else None
 
-    def ingest(self, name: str, source: DataFrame, batch_id: str, loaded_at: dt.datetime) -> dict[str, int]:
-        """Loads what the source has beyond the table's watermark. Returns rows read, rejected and merged into silver."""
-        e, keys = ENTITIES[name], list(ENTITIES[name].pk)
-        staged = typed_rows(source, name)
-        after = self.mark(name)
+    def load(self, name: str, source: DataFrame, batch_id: str, loaded_at: dt.datetime, after: dt.datetime | None) -> Load:
+        """Batch copy, bronze and silver of what the source has beyond `after`; control tables are left to record()."""
+        key = key_of(name)
         path = f"{self.root}/batches/{name}/{batch_id}"
-        (staged if after is None else since(staged, "updated_at", after)).write.mode("overwrite").parquet(path)
+        typed_rows(not_yet_loaded(source, "updated_at", after), name).write.mode("overwrite").parquet(path)
         batch = self.spark.read.parquet(path)
+        seen = batch.agg(F.count("*"), F.max("updated_at")).first()
+        out = Load(name, batch_id, loaded_at, read=seen[0], newest=seen[1])
+        if not out.read and self.silver(name) is not None:
+            return out
 
-        landed = batch.where(" AND ".join(f"{k} IS NOT NULL" for k in (*keys, "updated_at"))).drop("payload", "details").dropDuplicates([*keys, "updated_at"])
+        landed = batch.where(" AND ".join(f"{k} IS NOT NULL" for k in (*key, "updated_at"))).drop("payload", "details").dropDuplicates([*key, "updated_at"])
         known = self.bronze(name)
         if known is not None:
-            landed = landed.join(known.where(F.col("_batch_id") != batch_id).select(*keys, "updated_at"), [*keys, "updated_at"], "left_anti")
+            landed = landed.join(known.where(F.col("_batch_id") != batch_id).select(*key, "updated_at"), [*key, "updated_at"], "left_anti")
         landed.withColumn("_loaded_at", F.lit(loaded_at)).write.mode("overwrite").parquet(f"{self.root}/bronze/{name}/_batch_id={batch_id}")
 
-        valid, invalid = batch.where("details = ''"), batch.where("details <> ''").select(F.lit("VALIDATION").alias("reason"), "details", "payload")
-        if e.same():
-            ids = [f"_k{i}" for i in range(len(e.same()))]
-            # versions of one row are no duplicates of each other
-            ranked = joins.ranked_duplicates(joins.first_of(valid, keys, [F.desc("updated_at"), F.col("payload")]).withColumns(dict(zip(ids, e.same()))), ids, keys[0]).drop(*ids)
+        # versions of one row are no duplicates of each other
+        valid, invalid = joins.first_of(batch.where("details = ''"), key, [F.desc("updated_at"), F.col("payload")]), batch.where("details <> ''").select(F.lit("VALIDATION").alias("reason"), "details", "payload")
+        if business_key(name):
+            rows, names = _keyed(valid, name)
+            ranked = joins.ranked_duplicates(rows, names, key[0]).drop(*names)
             again = ranked.where("is_duplicate").select(F.lit("DUPLICATE").alias("reason"), F.concat(F.lit("same as "), F.col("duplicate_of_id").cast("string")).alias("details"), "payload")
             valid, invalid = ranked.where("NOT is_duplicate"), invalid.unionByName(again)
-        else:
-            valid = joins.first_of(valid, keys, [F.desc("updated_at"), F.col("payload")])
-        self.log_rejects(invalid, name, batch_id)
+        folder = f"{self.root}/rejected/{name}/{batch_id}"
+        invalid.write.mode("overwrite").json(folder)
+        out.rejects = self.spark.read.schema("reason string, details string, payload string").json(folder)
+        out.rejected = out.rejects.count()
 
         clean = cleansed(valid, name).withColumns({"_batch_id": F.lit(batch_id), "_loaded_at": F.lit(loaded_at)})
         current = self.silver(name)
         if current is None:
-            current = clean.limit(0).withColumns({"is_duplicate": F.lit(False), "duplicate_of_id": F.lit(None).cast("long")})
-        merged = merges.upsert(current, clean, keys, STAMPED).withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
+            merged = clean.withColumns({"is_duplicate": F.lit(False), "duplicate_of_id": F.lit(None).cast("long")})
+        else:
+            merged = merges.upsert(current, clean, key, STAMPED).withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
         Table(self.spark, f"{self.root}/silver/{name}").replace(merged)
+        out.merged = self.silver(name).where(F.col("_batch_id") == batch_id).count()
+        out.__post_init__()
+        return out
+
+    def record(self, loads: list[Load]) -> None:
+        """Rejects, failures and audit of loads, then their watermarks: a load that broke off is read again."""
+        good = [x for x in loads if x.error is None]
+        self.log_rejects(good)
+        self._append("failed", FAILED, [(x.batch_id, x.name, x.error, x.loaded_at) for x in loads if x.error is not None])
+        self._append("audit", AUDIT, [(x.batch_id, layer, x.name, n, x.loaded_at) for x in good for layer, n in (("bronze", x.read), ("silver", x.merged))])
+        self.advance({x.name: x.newest for x in good if x.newest is not None})
 
-        counts = {"read": batch.count(), "rejected": invalid.count(), "merged": self.silver(name).where(F.col("_batch_id") == batch_id).count()}
-        self._append("audit", AUDIT, [(batch_id, "bronze", name, counts["read"], loaded_at), (batch_id, "silver", name, counts["merged"], loaded_at)])
-        top = batch.agg(F.max("updated_at")).first()[0]
-        if top is not None:
-            self.advance(name, top)  # last: a batch that broke off is read again
-        return counts
-
-    def flag_silver(self, loaded_at: dt.datetime) -> None:
+    def ingest(self, name: str, source: DataFrame, batch_id: str, loaded_at: dt.datetime) -> dict[str, int]:
+        """Loads what the source has beyond the table's watermark. Returns rows read, rejected and merged into silver."""
+        done = self.load(name, source, batch_id, loaded_at, self.mark(name))
+        self.record([done])
+        return done.counts
+
+    def ingest_all(self, sources: dict[str, DataFrame], batch_id: str, loaded_at: dt.datetime, side_by_side: int = 8, tries: int = 2) -> list[Load]:
+        """Loads all sources, several at a time. A load that fails is tried again; if it fails for good the others still
+        count, its error is kept in the table of failed batches, and its watermark stays where it was."""
+        marks = self.marks()
+
+        def one(name: str) -> Load:
+            error = ""
+            for _ in range(tries):
+                try:
+                    return self.load(name, sources[name], batch_id, loaded_at, marks.get(name))
+                except Exception as e:  # noqa: BLE001  kept in the control table
+                    error = f"{type(e).__name__}: {e}"[:2000]
+            return Load(name, batch_id, loaded_at, error=error)
+
+        with ThreadPoolExecutor(side_by_side) as pool:
+            loads = list(pool.map(one, sorted(sources)))
+        self.record(loads)
+        return loads
+
+    def flag_silver(self, loaded_at: dt.datetime) -> int:
+        """Flags duplicates across batches; the number of rows whose mark has changed."""
+        changed = 0
         for name in FLAGGED:
             now = self.silver(name)
-            if now is not None:
-                Table(self.spark, f"{self.root}/silver/{name}").replace(flag_duplicates(now, name, loaded_at))
+            if now is None:
+                continue
+            marked = flag_duplicates(now, name, loaded_at)
+            moved = marked.join(now.select(*key_of(name), F.col("is_duplicate").alias("_d"), F.col("duplicate_of_id").alias("_o")), key_of(name)).where("NOT (is_duplicate <=> _d AND duplicate_of_id <=> _o)").count()
+            if moved:  # otherwise the table stays as it is
+                Table(self.spark, f"{self.root}/silver/{name}").replace(marked)
+            changed += moved
+        return changed
 
 
 CUSTOMER_TABLES = ("customer", "customer_address", "customer_subscription", "streaming_session", "rental", "payment", "support_ticket", "review", "wishlist")

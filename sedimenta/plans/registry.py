@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from sedimenta.plans import relational, warehouse
+from sedimenta.plans import layers, relational, warehouse
 
 
 def queries() -> dict:
-    return relational.queries() | warehouse.queries()
+    return relational.queries() | warehouse.queries() | layers.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return relational.oracle_sql() | warehouse.oracle_sql()
+    return relational.oracle_sql() | warehouse.oracle_sql() | layers.oracle_sql()

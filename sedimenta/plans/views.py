@@ -14,13 +14,26 @@ from pyspark.sql.window import Window
 Star = dict[str, DataFrame]
 
 
+#: The members for what is missing, by dimension and surrogate key. A calendar day or month has none.
+MEMBERS: dict[str, tuple[str, dict[int, dict[str, object]]]] = {
+    "subscription_plan": ("subscription_plan_key", {0: {"plan_name": "No active plan"}, -1: {"plan_name": "Unknown"}}),
+    "warehouse": ("warehouse_key", {-1: {"warehouse_name": "Unknown", "city": "Unknown", "country": "Unknown"}}),
+    "content": ("content_key", {-1: {"title": "Unknown", "content_type": "Unknown"}}),
+    "customer": ("customer_key", {-1: {"full_name": "Unknown", "customer_status": "Unknown", "is_current": True}}),
+    "inventory_item": ("inventory_key", {-1: {"barcode": "Unknown", "item_status": "Unknown", "is_current": True}}),
+}
+
+
 def with_members(dimension: DataFrame, surrogate: str, members: dict[int, dict[str, object]]) -> DataFrame:
-    """The dimension with special members: values by column for each key, null elsewhere; numbers by surrogate key."""
-    rows = dimension
+    """The dimension with special members that it lacks: values by column for each key, null elsewhere; numbers by surrogate key."""
+    spark, rows = dimension.sparkSession, None
     for key, values in members.items():
-        one = dimension.sparkSession.range(1).select(*[F.lit(key if c == surrogate else values.get(c)).cast(t).alias(c) for c, t in dimension.dtypes])
-        rows = rows.unionByName(one)
-    return rows
+        one = spark.range(1).select(*[F.lit(key if c == surrogate else values.get(c)).cast(t).alias(c) for c, t in dimension.dtypes])
+        rows = one if rows is None else rows.unionByName(one)
+    if rows is None:
+        return dimension
+    there = dimension.where(F.col(surrogate).isin(list(members))).select(surrogate)  # a row for each member at most
+    return dimension.unionByName(rows.join(F.broadcast(there), surrogate, "left_anti").select(dimension.columns))
 
 
 def _ratio(total: Column, n: Column, scale: int) -> Column:

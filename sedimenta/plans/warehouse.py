@@ -104,9 +104,6 @@ def scd2_asof_join(spark, d):
     return joins.versions_asof(e, _versions(_t(spark, d, "orders")), "k", "on_day").select("o_orderkey", "version_order", F.coalesce("priority", F.lit("Unknown")).alias("priority"))
 
 
-SNAP_FROM, SNAP_TO = "1995-01-01", "1995-03-31"  # of the DuckDB text only
-
-
 def _snapshot(spark, d) -> DataFrame:
     """One row an item and day, from the item's first day to the last order's, as the reference's window has it."""
     loans = _t(spark, d, "orders").select(F.col("o_custkey").alias("item"), _day("o_orderdate").alias("b"), F.date_add(_day("o_orderdate"), (F.col("o_orderkey") % 14).cast("int")).alias("e"), (F.col("o_orderpriority") == "1-URGENT").alias("late"))
@@ -128,11 +125,11 @@ def warehouse_utilisation_monthly(spark, d):
     return g.select("c_nationkey", "month_key", "loan_days", "days", "items", F.expr("(20000 * loan_days + days) div (2 * days)").alias("utilisation_bp"))
 
 
-D_SNAP = f"""l AS (SELECT o_custkey AS item, CAST(o_orderdate AS DATE) AS b, CAST(CAST(o_orderdate AS DATE) + INTERVAL (o_orderkey % 14) DAY AS DATE) AS e, o_orderpriority = '1-URGENT' AS late FROM orders),
-days AS (SELECT CAST(unnest(generate_series(DATE '{SNAP_FROM}', DATE '{SNAP_TO}', INTERVAL 1 DAY)) AS DATE) AS day),
-snap AS (SELECT i.item, day, CAST(EXISTS (SELECT 1 FROM l WHERE l.item = i.item AND day >= b AND day < greatest(e, b + 1)) AS INT) AS on_loan,
-  CAST(EXISTS (SELECT 1 FROM l WHERE l.item = i.item AND late AND day >= b AND day < greatest(e, b + 1)) AS INT) AS overdue
-  FROM (SELECT item, min(b) AS f FROM l GROUP BY 1) i, days WHERE day >= f)"""
+D_SNAP = """l AS (SELECT o_custkey AS item, CAST(o_orderdate AS DATE) AS b, CAST(CAST(o_orderdate AS DATE) + INTERVAL (o_orderkey % 14) DAY AS DATE) AS e, o_orderpriority = '1-URGENT' AS late FROM orders),
+hi AS (SELECT max(b) AS hi FROM l),
+busy AS (SELECT item, day, bool_or(late) AS overdue FROM (SELECT item, late, CAST(unnest(generate_series(b, least(greatest(b, e - 1), hi), INTERVAL 1 DAY)) AS DATE) AS day FROM l, hi) x GROUP BY 1, 2),
+dense AS (SELECT item, CAST(unnest(generate_series(f, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT item, min(b) AS f FROM l GROUP BY 1) i, hi),
+snap AS (SELECT d.item, d.day, CAST(b.item IS NOT NULL AS INT) AS on_loan, CAST(coalesce(overdue, false) AS INT) AS overdue FROM dense d LEFT JOIN busy b ON b.item = d.item AND b.day = d.day)"""
 
 # --- merges ---
 
@@ -186,22 +183,104 @@ def change_set_rebuild(spark, d):
     return merges.delete_insert(old, build(e.join(changed, "user_id", "left_semi")), changed)
 
 
+def _scratch(spark: SparkSession, tag: str) -> str:
+    import uuid
+
+    from sedimenta.plans.layers import scratch
+
+    return f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def stream_upsert_events(spark, d):
     """The newest event of each user, by the same upsert, from a stream that reads what is there and stops."""
-    import tempfile
-
     from sedimenta.sources.versions import Table
     from sedimenta.streaming.upserts import stream_table, upsert_stream
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    import uuid
-
-    base = f"{root}/stream-{uuid.uuid4().hex}"
+    base = _scratch(spark, "stream")
     target = Table(spark, f"{base}/table")
     upsert_stream(stream_table(spark, f"{d}/events.parquet"), target, ["user_id"], "event_id", f"{base}/progress").awaitTermination()
     return target.read().select("user_id", "event_id", "event_type")
 
 
+def stream_windowed_counts(spark, d):
+    """Counts by hour and type with a watermark, kept up to date in a table."""
+    from sedimenta.sources.versions import Table
+    from sedimenta.streaming.upserts import stream_table, windowed_stream
+
+    base = _scratch(spark, "stream")
+    target = Table(spark, f"{base}/table")
+    windowed_stream(stream_table(spark, f"{d}/events.parquet"), target, f"{base}/progress").awaitTermination()
+    return target.read().select("hour", "event_type", "n", "total")
+
+
+def staged_csv(spark, d):
+    """Rows staged as text files, read back as text and typed with a check."""
+    from pyspark.sql.types import StructType
+
+    from sedimenta.sources.versions import read_staged_csv
+
+    path = _scratch(spark, "staged")
+    _t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").write.option("header", True).csv(path)
+    rows = read_staged_csv(spark, path, StructType.fromDDL("n_nationkey INT, n_name STRING, n_regionkey INT"))
+    return rows.select(F.col("n_nationkey").try_cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").try_cast("int").alias("n_regionkey"))
+
+
+def delete_range(spark, d):
+    """Rows of some customers go where their day lies in a range."""
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey", _day("o_orderdate").alias("day"))
+    keys = _t(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    low, high = (F.lit(x).cast("date") for x in ("1996-01-01", "1997-12-31"))
+    return merges.delete_between(o, keys, "day", low, high).select("o_orderkey")
+
+
+def update_from(spark, d):
+    """Customers take a value from their orders where these have one."""
+    latest = _t(spark, d, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("last_order"))
+    c = _t(spark, d, "customer").select("c_custkey", "c_mktsegment", F.lit(-1).cast("long").alias("last_order"))
+    return merges.update_from(c, latest, ["c_custkey"], ["last_order"], F.col("c_mktsegment") != "BUILDING")
+
+
+def truncate_reload(spark, d):
+    """A table is emptied and filled anew; readers see a whole version at any time."""
+    from sedimenta.sources.versions import Table
+
+    t = Table(spark, _scratch(spark, "table"))
+    s = _t(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    t.replace(s)
+    t.replace(s.limit(0))
+    emptied = t.read().count()
+    t.replace(s.where("s_nationkey % 2 = 0"))
+    return t.read().withColumn("rows_when_empty", F.lit(emptied).cast("long"))
+
+
+def temp_table(spark, d):
+    """A temporary table that two steps of one query read."""
+    _t(spark, d, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count("*").alias("n")).createOrReplaceTempView("finished_orders")
+    return spark.sql("SELECT o_custkey, n FROM finished_orders WHERE n > (SELECT avg(n) FROM finished_orders)")
+
+
+_CATALOG = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def catalog_scan(spark, d):
+    """Columns that the catalog lists for the engine's tables."""
+    from sedimenta.sources.versions import catalog_columns
+
+    for name in _CATALOG:
+        _t(spark, d, name).createOrReplaceTempView(name)
+    return catalog_columns(spark).where(F.col("table_name").isin(*_CATALOG)).select("table_name", "column_name", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+def catalog_row_counts(spark, d):
+    """What the catalog lists joined with the tables' row counts."""
+    wide = catalog_scan(spark, d).groupBy("table_name").agg(F.count("*").alias("n_columns"))
+    counts = [_t(spark, d, n).agg(F.lit(n).alias("table_name"), F.count("*").alias("n_rows")) for n in _CATALOG]
+    both = counts[0]
+    for c in counts[1:]:
+        both = both.unionByName(c)
+    return wide.join(both, "table_name")
+
+
 QUERIES = {
     "dq_flags": (dq_flags, D_CLEAN),
     "flag_histogram": (flag_histogram, f"SELECT flag, count(*) AS n FROM (SELECT unnest(string_split(dq_flags, ',')) AS flag FROM ({D_CLEAN})) GROUP BY flag"),
@@ -217,13 +296,21 @@ QUERIES = {
     "insert_ignore": (insert_ignore, "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0"),
     "upsert_merge": (upsert_merge, "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 4 <> 1 THEN false END AS is_duplicate, CASE WHEN (o_orderkey % 10 = 0 AND o_orderstatus <> 'X') OR o_orderkey % 4 = 1 THEN 'b2' ELSE 'b1' END AS batch_id FROM orders WHERE o_orderkey % 4 <> 1 OR o_orderkey % 5 = 0"),
     "delete_insert": (delete_insert, "SELECT user_id, CAST(ts AS DATE) AS day, CASE WHEN user_id % 7 = 0 THEN count(*) ELSE 0 END AS n FROM events GROUP BY 1, 2"),
-    "scd1_merge": (scd1_merge, "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey + 1000 ELSE (SELECT max(c_custkey) + 1000 FROM customer WHERE c_custkey < 400 AND c_custkey % 3 <> 0) + row_number() OVER (PARTITION BY c_custkey % 3 = 0 ORDER BY c_custkey) END AS customer_key, CASE WHEN c_custkey % 3 = 0 THEN 'inserted' WHEN c_custkey % 10 = 1 THEN 'updated' ELSE 'kept' END AS action, CASE WHEN c_custkey % 10 = 1 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey < 400"),
+    "scd1_merge": (scd1_merge, "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey + 1000 ELSE (SELECT max(c_custkey) + 1000 FROM customer WHERE c_custkey % 3 <> 0) + row_number() OVER (PARTITION BY c_custkey % 3 = 0 ORDER BY c_custkey) END AS customer_key, CASE WHEN c_custkey % 3 = 0 THEN 'inserted' WHEN c_custkey % 10 = 1 THEN 'updated' ELSE 'kept' END AS action, CASE WHEN c_custkey % 10 = 1 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer"),
     "scd2_merge": (scd2_merge, """WITH c AS (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 'MOVED' ELSE c_mktsegment END AS seg, CASE WHEN c_custkey % 5 = 0 THEN DATE '2024-06-01' ELSE DATE '1900-01-01' END AS f FROM customer)
       SELECT c_custkey, CASE WHEN f > DATE '2024-03-15' THEN seg ELSE c_mktsegment END AS c_mktsegment, upper(c_name) AS c_name, f AS effective_from, CASE WHEN seg <> c_mktsegment AND f < DATE '2024-03-15' THEN DATE '2024-03-14' END AS effective_to, NOT (seg <> c_mktsegment AND f < DATE '2024-03-15') AS is_current FROM c WHERE c_custkey % 4 <> 0
       UNION ALL SELECT c_custkey, seg, upper(c_name), DATE '2024-03-15', NULL, true FROM c WHERE c_custkey % 4 <> 0 AND seg <> c_mktsegment AND f < DATE '2024-03-15'
       UNION ALL SELECT c_custkey, seg, upper(c_name), DATE '1900-01-01', NULL, true FROM c WHERE c_custkey % 4 = 0"""),
     "flow_rejects_json": (flow_rejects_json, "SELECT md5(props) AS h, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_type, count(*) AS occurrence_count FROM events GROUP BY 1, 2, 3 HAVING count(*) > 1"),
     "change_set_rebuild": (change_set_rebuild, "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DECIMAL(28,4)) AS total FROM events GROUP BY 1, 2"),
+    "stream_windowed_counts": (stream_windowed_counts, "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DECIMAL(28,4)) AS total FROM events GROUP BY 1, 2"),
+    "staged_csv": (staged_csv, "SELECT n_nationkey, n_name, n_regionkey FROM nation"),
+    "delete_range": (delete_range, "SELECT o_orderkey FROM orders WHERE NOT (o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1997-12-31')"),
+    "update_from": (update_from, "SELECT c_custkey, c_mktsegment, CASE WHEN c_mktsegment <> 'BUILDING' THEN coalesce(m, -1) ELSE -1 END AS last_order FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS m FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) o ON o_custkey = c_custkey"),
+    "truncate_reload": (truncate_reload, "SELECT s_suppkey, s_nationkey, CAST(0 AS BIGINT) AS rows_when_empty FROM supplier WHERE s_nationkey % 2 = 0"),
+    "temp_table": (temp_table, "WITH f AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT o_custkey, n FROM f WHERE n > (SELECT avg(n) FROM f)"),
+    "catalog_scan": (catalog_scan, f"SELECT table_name, column_name, CAST(ordinal_position AS BIGINT) AS ordinal FROM information_schema.columns WHERE table_name IN {_CATALOG}"),
+    "catalog_row_counts": (catalog_row_counts, f"SELECT table_name, n_columns, n_rows FROM (SELECT table_name, count(*) AS n_columns FROM information_schema.columns WHERE table_name IN {_CATALOG} GROUP BY 1) c JOIN ({' UNION ALL '.join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in _CATALOG)}) r USING (table_name)"),
     "stream_upsert_events": (stream_upsert_events, "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id"),
 }
 

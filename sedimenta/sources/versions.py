@@ -4,26 +4,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType, TimestampNTZType, TimestampType
 
-TYPES = {"long": "bigint", "int": "int", "text": "string", "bool": "boolean", "date": "date", "ts": "timestamp_ntz"}
 
+def read_staged_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """CSV with header, the schema's columns as text; typing is a later, checked step."""
+    return spark.read.schema(StructType([StructField(f.name, StringType()) for f in schema])).option("header", True).csv(path)
 
-def parse_spec(spec: str) -> list[tuple[str, str, bool]]:
-    """`name:type[!]` entries; `!` marks what analytics cannot do without. Decimals are written dec(p,s)."""
-    out = []
-    for entry in spec.replace("\n", " ").split():
-        name, kind = entry.rstrip("!").split(":")
-        out.append((name, "decimal" + kind[3:] if kind.startswith("dec") else TYPES[kind], entry.endswith("!")))
-    return out
 
-
-def read_staged_csv(spark: SparkSession, path: str, spec: str) -> DataFrame:
-    """CSV with header, every column as text; typing is a later, checked step."""
-    schema = StructType([StructField(n, StringType()) for n, *_ in parse_spec(spec)])
-    return spark.read.schema(schema).option("header", True).csv(path)
+def catalog_columns(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """table_name, column_name, data_type, nullable and ordinal of every table and view that the catalog lists."""
+    rows = []
+    for t in spark.catalog.listTables(database):
+        name = t.name if t.isTemporary or not t.database else f"{t.database}.{t.name}"
+        rows += [(t.name, f.name, f.dataType.simpleString(), f.nullable, n + 1) for n, f in enumerate(spark.table(name).schema)]
+    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, nullable boolean, ordinal int")
 
 
 def since(df: DataFrame, column: str, after, upto=None) -> DataFrame:
@@ -33,28 +30,57 @@ def since(df: DataFrame, column: str, after, upto=None) -> DataFrame:
     return df if upto is None else df.where(F.col(column) <= F.lit(upto))
 
 
+def not_yet_loaded(source: DataFrame, column: str, after) -> DataFrame:
+    """Source rows after a watermark, before anything is made of them. Rows without a readable stamp cannot be told to be
+    old and come along. A stamp column is compared as it is, so scans push the comparison down; a text column is cast."""
+    if after is None or column not in source.columns:
+        return source
+    stamped = isinstance(source.schema[column].dataType, (TimestampType, TimestampNTZType))
+    at: Column = F.col(column) if stamped else F.nullif(F.col(column).cast("string"), F.lit("")).try_cast("timestamp_ntz")
+    return source.where((at > F.lit(after)) | at.isNull())
+
+
 class Table:
-    """Readers see the version that the pointer names. A version that fails to be written leaves the pointer where it was;
-    the pointer itself is deleted and written, so a crash between the two loses it, though no version."""
+    """Readers see the version that the pointer names, and a version is complete before the pointer names it.
+
+    The pointer is a file named by a running number; a new one is written under another name and renamed, and the
+    greatest number counts. So a crash at any point leaves the old version or the new one current. The last KEEP
+    versions stay for readers that have begun; older ones go.
+    """
+
+    KEEP = 3
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _pointers(self) -> list[tuple[int, str]]:
+        """(number, version), the current one last."""
+        at = self._path(f"{self.path}/_current")
+        if not self._fs.exists(at):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(at)]
+        return sorted((int(n), v) for n, _, v in (x.partition("=") for x in names) if n.isdigit())
 
     def current(self) -> str | None:
-        fs, path = self._fs()
-        if not fs.exists(path(f"{self.path}/CURRENT")):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+        pointers = self._pointers()
+        return pointers[-1][1] if pointers else None
 
     def read(self) -> DataFrame | None:
         version = self.current()
         return None if version is None else self.spark.read.parquet(f"{self.path}/{version}")
 
     def replace(self, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
+        """A new version of all rows (also with none of them: a full delete)."""
+        old, version = self._pointers(), f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT")
+        number = old[-1][0] + 1 if old else 1
+        draft, name = self._path(f"{self.path}/_current/.{version}"), self._path(f"{self.path}/_current/{number:012d}={version}")
+        self._fs.create(draft, True).close()
+        if not self._fs.rename(draft, name):
+            raise OSError(f"another writer has replaced {self.path}")
+        for n, v in old[: 1 - self.KEEP]:
+            self._fs.delete(self._path(f"{self.path}/{v}"), True)
+            self._fs.delete(self._path(f"{self.path}/_current/{n:012d}={v}"), False)

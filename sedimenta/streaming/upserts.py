@@ -31,5 +31,19 @@ def upsert_stream(source: DataFrame, target: Table, key: list[str], order: str,
 
 
 def windowed_counts(events: DataFrame, late: str = "1 day", width: str = "1 hour") -> DataFrame:
-    """Counts and sums by tumbling window and type, with a bound on late events."""
+    """Counts and sums by tumbling window and type, with a bound on late events. Watermarks need instants, so stamps
+    without a zone are read in the session's."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total"))
+
+
+def windowed_stream(events: DataFrame, target: Table, checkpoint: str, late: str = "1 day", width: str = "1 hour"):
+    """windowed_counts of all available rows, upserted into a table by window and type; a window's row follows late events."""
+
+    def apply(batch: DataFrame, _: int) -> None:
+        rows = batch.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "total")
+        current = target.read()
+        target.replace(rows if current is None else upsert(current, rows, ["hour", "event_type"]))
+
+    counts = windowed_counts(events, late, width)
+    return counts.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,15 +7,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.plans import gold, views
-from sedimenta.plans.entities import ENTITIES, spec_of
+from sedimenta.plans.entities import NAMES, schema_of
 from sedimenta.plans.medallion import Warehouse, change_set, cleansed, typed_rows
-from sedimenta.sources.versions import parse_spec
+from sedimenta.sources.versions import Table, catalog_columns, not_yet_loaded, read_staged_csv
 
 T0, T1, NOW, LATER = "2026-01-01 08:00:00", "2026-01-02 08:00:00", dt.datetime(2026, 1, 3), dt.datetime(2026, 1, 4)
 
 
 def staged(spark, name, rows):
-    columns = [c for c, *_ in parse_spec(spec_of(name))]
+    columns = schema_of(name).names
     data = [tuple(r.get(c, T0 if c in ("created_at", "updated_at") else None) for c in columns) for r in rows]
     return spark.createDataFrame(data, ", ".join(f"{c} string" for c in columns))
 
@@ -29,7 +29,7 @@ def session(i, start="2026-01-01 10:00:00", **more):
     return {"stream_id": str(i), "customer_id": "1", "content_id": "7", "device_id": "3", "start_time": start, "end_time": "2026-01-01 10:45:00", **more}
 
 
-@pytest.mark.parametrize("name", sorted(ENTITIES))
+@pytest.mark.parametrize("name", sorted(NAMES))
 def test_every_entity_cleanses_an_empty_batch(spark, name):
     assert typed(spark, name, []).count() == 0
 
@@ -48,7 +48,7 @@ def test_ingest_is_incremental_and_replay_safe(spark, tmp_path):
     source = staged(spark, "streaming_session", rows)
     with w.run("silver", NOW) as run_id:
         assert w.ingest("streaming_session", source, "b1", NOW) == {"read": 4, "rejected": 3, "merged": 1}
-        w.log_step(run_id, "streaming_session", inserted=1)
+        w.log_steps(run_id, [("streaming_session", 1, 0, 0, 0.5, None)])
     again = w.ingest("streaming_session", source, "b2", LATER)
     assert again == {"read": 0, "rejected": 0, "merged": 0}
     assert w.silver("streaming_session").first()["_batch_id"] == "b1"
@@ -61,9 +61,15 @@ def test_ingest_is_incremental_and_replay_safe(spark, tmp_path):
     w.flag_silver(LATER)
     assert [tuple(r) for r in w.silver("streaming_session").orderBy("stream_id").select("stream_id", "is_duplicate", "duplicate_of_id").collect()] == [(1, False, None)]
     assert w.control("audit", "").count() == 6
+    unreadable = staged(spark, "streaming_session", [session(7, updated_at="?")])
+    assert w.ingest("streaming_session", unreadable, "b4", LATER) == {"read": 1, "rejected": 1, "merged": 0}
+    loads = w.ingest_all({"streaming_session": source, "rental": source.select(F.lit(1).alias("x"), F.expr("raise_error('no such file')").alias("y"))}, "b5", LATER)
+    assert [(x.name, x.error is None) for x in loads] == [("rental", False), ("streaming_session", True)]
+    assert w.control("failed", "").select("table_name").collect()[0][0] == "rental" and w.mark("rental") is None
     with pytest.raises(RuntimeError):
         with w.run("silver", LATER):
             raise RuntimeError("source away")
+    assert [(r["run_id"], r["steps"]) for r in w.run_log().collect()] == [(2, 0), (1, 1)]
     assert [(r["run_id"], r["status"], r["error"]) for r in w.control("runs", "").orderBy("run_id").collect()] == [(1, "SUCCEEDED", None), (2, "FAILED", "source away")]
 
 
@@ -204,3 +210,30 @@ def test_views_over_the_star_schema(spark, silver, dims):
     assert sorted(k) == ["2026-01", "2026-02"] and k["2026-02"]["inventory_utilisation_pct"] is None and k["2026-02"]["revenue_per_active_customer"] is None
     r = k["2026-01"]
     assert (r["active_customers"], r["streaming_hours"], r["refunds"], r["inventory_utilisation_pct"], r["revenue_per_active_customer"]) == (2, Decimal("2.0"), Decimal("4.00"), Decimal("85.71"), Decimal("5.00"))
+
+
+def test_watermark_reaches_the_scan(spark, tmp_path):
+    spark.sql("SELECT id, timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(id) AS updated_at FROM range(10)").write.parquet(f"{tmp_path}/s")
+    new = not_yet_loaded(spark.read.parquet(f"{tmp_path}/s"), "updated_at", dt.datetime(2026, 1, 6))
+    assert new.count() == 4
+    assert "GreaterThan(updated_at" in new._jdf.queryExecution().toString()
+
+
+def test_versions_survive_a_torn_write(spark, tmp_path):
+    t = Table(spark, f"{tmp_path}/t")
+    for i in range(5):
+        t.replace(spark.range(i))
+    assert t.read().count() == 4
+    spark.range(99).write.parquet(f"{tmp_path}/t/v-torn")  # written, never named
+    assert t.read().count() == 4 and len(list((tmp_path / "t").glob("v-*"))) == Table.KEEP + 1
+    t.replace(spark.range(0))
+    assert t.read().count() == 0
+
+
+def test_staged_csv_and_catalog(spark, tmp_path):
+    (tmp_path / "genre.csv").write_text("genre_id,genre_name,created_at,updated_at\n1, War ,2026-01-01 00:00:00,2026-01-01 00:00:00\n,x,2026-01-01 00:00:00,2026-01-01 00:00:00\n")
+    rows = typed_rows(read_staged_csv(spark, str(tmp_path / "genre.csv"), schema_of("genre")), "genre")
+    assert [(r["genre_id"], r["details"]) for r in rows.orderBy("details").collect()] == [(1, ""), (None, "genre_id is missing")]
+    rows.createOrReplaceTempView("staged_genre")
+    columns = catalog_columns(spark).where("table_name = 'staged_genre'").orderBy("ordinal").collect()
+    assert [(r["column_name"], r["data_type"]) for r in columns][:2] == [("payload", "string"), ("genre_id", "bigint")]

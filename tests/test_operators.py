@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions.text import blank_to_null, full_years, initcap_any, text_to_bigint
 from sedimenta.operators import joins, merges, quality
-from sedimenta.sources.versions import Table, parse_spec, since
+from sedimenta.sources.versions import Table, since
 
 
 def test_insert_ignore_is_idempotent(spark):
@@ -64,6 +64,20 @@ def test_versions_switch_after_the_write(spark, tmp_path):
     assert t.read().count() == 2
 
 
-def test_spec_and_watermark(spark):
-    assert parse_spec("id:long! fee:dec(10,2)") == [("id", "bigint", True), ("fee", "decimal(10,2)", False)]
+def test_watermark(spark):
     assert since(spark.range(5), "id", 1, 3).count() == 2 and since(spark.range(5), "id", None).count() == 5
+
+
+def test_repeated_keys_of_a_batch_do_not_multiply(spark):
+    now = spark.createDataFrame([(1, "a")], "id int, v string")
+    batch = spark.createDataFrame([(1, "z"), (1, "y"), (2, "b"), (2, "c")], "id int, v string")
+    assert sorted(map(tuple, merges.upsert(now, batch, ["id"]).collect())) == [(1, "y"), (2, "b")]
+    assert sorted(map(tuple, merges.insert_ignore(now, batch, ["id"]).collect())) == [(1, "a"), (2, "b")]
+
+
+def test_delete_between_and_update_from(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 9), (2, 5), (None, 5)], "id int, d int")
+    keys = spark.createDataFrame([(1,), (1,), (None,)], "id int")
+    assert sorted(map(str, merges.delete_between(rows, keys, "d", 1, 6).collect())) == ["Row(id=1, d=9)", "Row(id=2, d=5)", "Row(id=None, d=5)"]
+    new = spark.createDataFrame([(1, 70), (1, 60), (3, 1)], "id int, d int")
+    assert sorted(map(str, merges.update_from(rows, new, ["id"], ["d"], F.col("d") < 8).collect())) == ["Row(id=1, d=60)", "Row(id=1, d=9)", "Row(id=2, d=5)", "Row(id=None, d=5)"]
