@@ -74,98 +74,3 @@ def test_utilisation_over_the_whole_window(spark, snapshot):
     sums = {k: (sum(x for _, x in v), len(v), len({i for i, _ in v})) for k, v in want.items()}
     got = QUERIES["warehouse_utilisation_monthly"](spark, SMALL).collect()
     assert {(r["c_nationkey"], r["month_key"]): (r["loan_days"], r["days"], r["items"], r["utilisation_bp"]) for r in got} == {k: (n, m, i, (20000 * n + m) // (2 * m)) for k, (n, m, i) in sums.items()}
-
-
-def test_keep_one_keeps_a_row_of_each_component(spark):
-    import random
-
-    from sedimenta.llm import simhash
-
-    rng = random.Random(3)
-    prose = [" ".join(rng.choice(("rain", "stone", "river", "field")) + str(rng.randrange(99)) for _ in range(60)) for _ in range(12)]
-    # null ids with texts of their own, an id that stands on an own text and on a copy, repeats that differ elsewhere
-    data = [(2, prose[0], "a"), (5, prose[1], "a"), (5, prose[0], "a"), (7, prose[2], "z"), (7, prose[2], "b"), (7, prose[2], "b"), (None, prose[0], "a"), (9, None, "a"), (None, "", "a")]
-    data += [(None, prose[k], "n") for k in range(3, 12)] + [(None, prose[3], "n")]
-    near = [[(simhash.fingerprint(a[1]) ^ simhash.fingerprint(b[1])).bit_count() <= 2 for b in data] for a in data]
-    comp = list(range(len(data)))
-    for _ in data:
-        comp = [min(comp[b] for b in range(len(data)) if near[a][b]) for a in range(len(data))]
-    assert len(set(comp)) == 13
-    runs = []
-    for parts in (1, 5):
-        df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(parts)
-        runs.append(sorted(map(tuple, simhash.keep_one(df).collect()), key=repr))
-    got = runs[0]
-    assert runs[1] == got and all(r in data for r in got)
-    assert sorted(comp[data.index(r)] for r in got) == sorted(set(comp))
-    low = {c: min((data[k][0] for k in range(len(data)) if comp[k] == c and data[k][0] is not None), default=None) for c in set(comp)}
-    assert all(r[0] == low[comp[data.index(r)]] for r in got)
-
-
-def tree_scores(texts, held):
-    """The score of each text by the tree of those not held out, from plain dictionaries."""
-    import collections
-    import math
-
-    low = [[w.lower() for w in t.split()] + ["\n"] for t in texts]
-    train = [w for w, h in zip(low, held) if not h]
-    c = collections.Counter(w for t in train for w in t)
-    total = sum(c.values()) + 0.1 * (len(c) + 1)
-    root = lambda y: (c[y] + 0.1) / total
-    grams = collections.defaultdict(collections.Counter)
-    for t in train:
-        for k in range(len(t)):
-            for d in (1, 2):
-                if k >= d:
-                    grams[tuple(t[k - d : k])][t[k]] += 1
-    m = {x: sum(g.values()) for x, g in grams.items()}
-    up = lambda x, y: root(y) if len(x) == 1 else grams[x[1:]][y] / m[x[1:]]
-    states = {x for x, g in grams.items() if m[x] >= 64 and sum(n * math.log(n / m[x] / up(x, y)) for y, n in g.items()) >= 20 + 0.002 * m[x]}
-
-    def p(x, y):
-        if not x:
-            return root(y)
-        below = p(x[1:], y)
-        return (grams[x][y] + 80 * below) / (m[x] + 80) if x in states else below
-
-    return [sum(math.log10(p(tuple(t[max(0, k - 2) : k]), t[k])) for k in range(len(t))) for t in low], states
-
-
-@pytest.mark.parametrize("bounds", [None, {"HOT": 40, "HOT_STATES": 30, "HOT_ENTRIES": 200, "STATE_BITS": 8, "ENTRY_BITS": 10}])
-def test_suffix_tree_is_whole(spark, monkeypatch, bounds):
-    import math
-    import random
-    import zlib
-
-    from sedimenta.llm import suffixtree
-
-    for k, x in (bounds or {}).items():
-        monkeypatch.setattr(suffixtree, k, x)
-    rng = random.Random(6)
-    after = {a: [f"w{rng.randrange(600)}" for _ in range(3)] for a in (f"w{k}" for k in range(600))}
-    texts = []
-    for k in range(700):
-        t = [f"w{rng.randrange(600)}"]
-        while len(t) < 120:
-            t.append(rng.choice(after[t[-1]]) if t[-1] in after and rng.random() < 0.9 else f"w{rng.randrange(600)}" if rng.random() < 0.8 else f"r{rng.randrange(9999)}")
-        texts.append(" ".join(t))
-    texts += ["", "one", "w1 w2"]
-    want, states = tree_scores(texts, [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))])
-    assert any("w" in x[0] and len(x) == 2 for x in states) and len({w for x in states for w in x}) > 400
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in suffixtree.score(df, *suffixtree.learn(df)).collect()}
-    assert all(math.isclose(got[i], x, rel_tol=1e-9) for i, x in enumerate(want))
-
-
-def test_language_learns_seldom_languages(spark):
-    import random
-
-    from sedimenta.llm import language
-
-    rng = random.Random(2)
-    # alphabets of their own: 600 rows of two languages, five rows of each of ten others
-    letters = {f"{c}{c}": [chr(0x100 + 40 * k + j) for j in range(12)] for k, c in enumerate("bcdefghijz")} | {"aa": list("etaoin"), "yy": list("шрдлук")}
-    prose = lambda lang: " ".join("".join(rng.choice(letters[lang]) for _ in range(5)) for _ in range(20))
-    data = [(k, prose(lang), lang) for k, lang in enumerate(["aa", "yy"] * 300 + [x for x in sorted(letters) if x not in ("aa", "yy")] * 5)]
-    model = language.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), max_train=60)
-    assert model["langs"] == sorted(letters)
