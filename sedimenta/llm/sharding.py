@@ -6,7 +6,9 @@ one. Law `bytes`: a row goes to the shard in which the middle of its bytes falls
 shuffled for the order, never texts; the order comes from range partitions whose sizes are added up, so no task
 holds more than its range, however many rows share a curve index.
 
-Null texts have no bytes; null languages and sources share a bucket of their own. Repeated rows stay.
+Null texts have no bytes; null languages and sources share a bucket of their own. Repeated rows stay, each with a place
+of its own. Very long texts count by their size only. Null ids come first among ties. Empty tables give no rows. Other
+columns are read by write_shards alone, which carries them along under any name.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sedimenta.llm.common import dropped, saved, table
 
@@ -45,13 +48,15 @@ def hilbert_index(coordinates: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def placed(documents: DataFrame, bits: int = BITS) -> DataFrame:
-    """doc_id, size, text_crc32, the quantised dimensions d0 to d2, and the curve index of every row. Texts stop here."""
+def placed(documents: DataFrame, bits: int = BITS, whole: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, the quantised dimensions d0 to d2, and the curve index of every row. Texts stop here,
+    unless whole is set: then the row goes along as the struct `row`."""
     top = (1 << bits) - 1
     name = lambda c: F.when(F.col(c).isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(top)))
     length = F.least(F.lit(top), F.floor(F.log2(F.col("size") / F.lit(float(ROW_BYTES))) * 12)).cast("long")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    rows = rows.select("doc_id", "size", "text_crc32", name("lang").alias("d0"), name("source").alias("d1"), length.alias("d2"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")] if whole else []
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), *row)
+    rows = rows.select("doc_id", "size", "text_crc32", name("lang").alias("d0"), name("source").alias("d1"), length.alias("d2"), *(["row"] if whole else []))
 
     def run(batches):
         import pyarrow as pa
@@ -60,7 +65,7 @@ def placed(documents: DataFrame, bits: int = BITS) -> DataFrame:
             at = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("d0", "d1", "d2")], axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hilbert_index(at, bits))], names=[*batch.schema.names, "curve"])
 
-    return rows.mapInArrow(run, "doc_id long, size long, text_crc32 long, d0 long, d1 long, d2 long, curve long")
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField("curve", LongType())]))
 
 
 def ordered(rows: DataFrame) -> DataFrame:
@@ -81,11 +86,11 @@ def ordered(rows: DataFrame) -> DataFrame:
     return kept_rows.withColumn("_run", running).join(F.broadcast(start), "_part").withColumn("rank", F.col("_rows") + F.col("_at")).withColumn("before", F.col("_bytes") + F.col("_run")).drop("_m", "_part", "_at", "_run", "_rows", "_bytes").withColumn("_n", F.lit(at)).withColumn("_total", F.lit(size))
 
 
-def shard(documents: DataFrame, shards: int = SHARDS, law: str = "rows") -> DataFrame:
-    """doc_id, size, text_crc32, curve, law, shard, slot of every row."""
+def shard(documents: DataFrame, shards: int = SHARDS, law: str = "rows", whole: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, curve and d0 to d2 of every row, and the row itself where whole is set."""
     if law not in ("rows", "bytes"):
         raise ValueError(law)
-    rows = ordered(placed(documents))
+    rows = ordered(placed(documents, whole=whole))
     if law == "rows":
         # the first n mod shards runs have a row more
         each, more = F.floor(F.col("_n") / shards), F.col("_n") % shards
@@ -97,7 +102,7 @@ def shard(documents: DataFrame, shards: int = SHARDS, law: str = "rows") -> Data
         out = rows.withColumn("shard", F.least(F.lit(shards - 1), F.floor((F.col("before") + F.col("size") / 2) * shards / F.col("_total"))).cast("int"))
         firsts = out.groupBy("shard").agg(F.min("rank").alias("_first"))
         out = out.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("rank") - F.col("_first"))
-    return out.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", "curve", "d0", "d1", "d2")
+    return out.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", "curve", "d0", "d1", "d2", *(["row"] if whole else []))
 
 
 def op5_hilbert_shards(spark, sf_dir: str) -> DataFrame:
@@ -112,13 +117,11 @@ def manifest(sharded: DataFrame) -> DataFrame:
 
 
 def write_shards(documents: DataFrame, path: str, shards: int = SHARDS, law: str = "rows") -> DataFrame:
-    """Writes the rows of documents below path/shard=N in curve order; gives the manifest, which it writes as path-manifest."""
-    placed_rows = saved(shard(documents, shards, law), "placed")
-    key = documents.withColumns({"_i": F.col("doc_id").cast("long"), "_c": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))})
-    once = placed_rows.groupBy("doc_id", "text_crc32").agg(F.min(F.struct("shard", "slot")).alias("_p"))
-    both = key.join(once.select(F.col("doc_id").alias("_pi"), F.col("text_crc32").alias("_pc"), "_p"), F.col("_i").eqNullSafe(F.col("_pi")) & (F.col("_c") == F.col("_pc")))
-    both.withColumn("shard", F.col("_p.shard")).repartition(shards, "shard").sortWithinPartitions("shard", "_p.slot").drop("_i", "_c", "_pi", "_pc", "_p").write.partitionBy("shard").parquet(path)
-    found = manifest(placed_rows)
-    found.write.parquet(f"{path}-manifest")
-    dropped(placed_rows)
+    """Writes the rows of documents, all columns, below path/shard=N in curve order; gives the manifest, which it writes as
+    path-manifest. A column `shard` of documents gives way to the shard. Rows carry their own place, so repeated rows
+    keep the law as any others do; the rows lie in curve order, so each task writes a few neighbouring shards."""
+    rows = saved(shard(documents, shards, law, whole=True), "placed")
+    rows.select(*[F.col(f"row.`{c}`") for c in documents.columns if c != "shard"], "shard").write.partitionBy("shard").parquet(path)
+    manifest(rows).write.parquet(f"{path}-manifest")
+    dropped(rows)
     return documents.sparkSession.read.parquet(f"{path}-manifest")
