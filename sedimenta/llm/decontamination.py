@@ -7,13 +7,15 @@ positions; and the occurrences of a document merge into removal spans.
 
 The benchmark is broadcast only in blocks of at most BLOCK_WORDS words; a larger one is searched block by block.
 Null and empty texts have no words. Items without words have no window. Repeated rows are searched alike. An
-item with a null id is searched, and listed under the empty id.
+item with a null id is searched and removed, but no document lists it. A very long text is one shard of its own size.
+Columns of any name are carried along; row numbers stand in columns of generated names. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from itertools import repeat
 
 import numpy as np
@@ -21,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import LOWER, table, trimmed
+from sedimenta.llm.common import LOWER, saved, slices, table, trimmed
 
 WINDOW = 10
 #: Words of a shard before its index is built, benchmark words in a broadcast block, and the distance of suffix samples.
 SHARD_WORDS, BLOCK_WORDS, SAMPLE = 600_000, 400_000, 8
+#: Documents and characters of a shard.
+SHARD_DOCS, SHARD_CHARS = 20_000, 16_000_000
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -44,7 +48,7 @@ class Phrases:
         for item_id, text in items:
             s = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in words_of(text)]
             for i in range(max(1, len(s) - window + 1) if s else 0):
-                found.setdefault(tuple(s[i : i + window]), set()).add("" if item_id is None else str(item_id))
+                found.setdefault(tuple(s[i : i + window]), set()).update(() if item_id is None else (str(item_id),))
         self.of = [sorted(v) for v in found.values()]
         self.length = np.array([len(k) for k in found], np.int64)
         self.symbols = np.zeros((len(found), window), np.int64)
@@ -167,6 +171,10 @@ class Shard:
         self.docs.append((key, np.fromiter(map(self.p.symbol.get, words, repeat(0)), np.int32, len(words))))
         self.words += len(words)
 
+    @property
+    def full(self) -> bool:
+        return self.words >= SHARD_WORDS or len(self.docs) >= SHARD_DOCS
+
     def flush(self):
         """For each document in order: its key, number of words, merged spans [start, end), and the items found."""
         docs, self.docs, self.words = self.docs, [], 0
@@ -217,46 +225,55 @@ def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[Data
     return [items] if n <= 1 else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def find(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """One block: doc_id, text_key, n_words, spans (of word numbers) and items of every row."""
+def _marked(documents: DataFrame) -> tuple[DataFrame, str]:
+    """documents with a number of each row, kept in a table so that it stays the same; and the name of its column."""
+    mark = f"_{uuid.uuid4().hex[:12]}"
+    return saved(documents.withColumn(mark, F.monotonically_increasing_id()), "rows"), mark
+
+
+def find(documents: DataFrame, items: DataFrame, mark: str | None = None) -> DataFrame:
+    """One block: mark (null if there is none), doc_id, n_words, spans (of word numbers) and items of every row."""
     phrases = Phrases([(r["item_id"], r["text"]) for r in items.collect()])  # bounded by blocks_of()
     shipped = documents.sparkSession.sparkContext.broadcast(phrases)
-    kind = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
+    kind = pa.schema([("mark", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
 
     def run(batches):
-        shard, full = Shard(shipped.value), SHARD_WORDS
+        shard = Shard(shipped.value)
 
         def out():
             rows = [(*k, n, s, sorted(i)) for k, n, s, i in shard.flush()]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
-        for batch in batches:
-            for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns)):
-                shard.add((doc_id, key), words_of(text))
-                if shard.words >= full or len(shard.docs) >= 20_000:
+        for part in slices(batches, 256):
+            for *key, text in zip(*(c.to_pylist() for c in part.columns)):
+                shard.add(tuple(key), words_of(text))
+                if shard.full:
                     yield out()
         if shard.docs:
             yield out()
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(trimmed(run), "doc_id long, text_key long, n_words long, spans array<array<int>>, items array<string>")
+    own = F.col(mark) if mark else F.lit(None).cast("long")
+    rows = documents.select(own.alias("mark"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(trimmed(run), "mark long, doc_id long, n_words long, spans array<array<int>>, items array<string>")
 
 
-def merge_blocks(parts: list[DataFrame]) -> DataFrame:
-    """What the blocks found in each row, as one block would have found it; repeated rows stay repeated."""
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    one = every.groupBy("doc_id", "text_key").agg(F.first("n_words").alias("n_words"), F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+def find_marked(documents: DataFrame, blocks: list[DataFrame], mark: str) -> DataFrame:
+    """What the blocks found in each row, as one block would have found it. A row has one part from each block, so no group is large."""
+    every = find(documents, blocks[0], mark)
+    for b in blocks[1:]:
+        every = every.unionByName(find(documents, b, mark))
+    one = every.groupBy("mark").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     joined = F.expr("""aggregate(s, cast(array() as array<array<int>>), (a, x) -> if(size(a) > 0 and element_at(a, -1)[1] >= x[0],
         concat(slice(a, 1, size(a) - 1), array(array(element_at(a, -1)[0], greatest(element_at(a, -1)[1], x[1])))), concat(a, array(x))))""")
-    return one.withColumn("spans", joined).withColumn("_r", F.explode(F.sequence(F.lit(1), (F.col("n") / len(parts)).cast("int")))).select("doc_id", "text_key", "n_words", "spans", "items")
+    return one.select("mark", "doc_id", "n_words", joined.alias("spans"), "items")
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    return merge_blocks([find(documents, b) for b in blocks_of(benchmark, block_words)])
+    blocks = blocks_of(benchmark, block_words)
+    if len(blocks) == 1:
+        return find(documents, blocks[0]).drop("mark")
+    rows, mark = _marked(documents.select("doc_id", "text"))
+    return find_marked(rows, blocks, mark).drop("mark")
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -276,20 +293,31 @@ def cut_spans(text: str, spans: list) -> str:
     return b"".join([*out, raw[done:]]).decode()
 
 
-def remove_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _with_text(row: dict, spans: list) -> dict:
+    if spans:
+        row["text"] = cut_spans(row["text"], spans)
+        if "n_chars" in row:
+            row["n_chars"] = len(row["text"])
+    return row
+
+
+def remove_contamination(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """documents, all columns, without the words of any window that occurs; n_chars follows where the table has it."""
-    kind = documents.schema
-    blocks = blocks_of(benchmark)
-    for items in blocks:
-        documents = _removed(documents, items, kind) if len(blocks) == 1 else documents
-    if len(blocks) > 1:  # judged on the input, so the blocks' findings are gathered before anything is cut
-        found = find_contamination(documents, benchmark).where("size(spans) > 0").select("doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"])
-        both = documents.withColumn("_k", F.xxhash64("text")).join(found, documents["doc_id"].eqNullSafe(found["doc_id"]) & (F.col("_k") == found["text_key"]), "left").select(*[documents[c] for c in documents.columns], "spans")
-        cut = F.udf(lambda t, s: cut_spans(t, s) if s else t, "string")
-        documents = both.withColumn("text", cut("text", "spans")).drop("spans")
-        if "n_chars" in documents.columns:
-            documents = documents.withColumn("n_chars", F.length("text").cast(kind["n_chars"].dataType))
-    return documents
+    kind, blocks = documents.schema, blocks_of(benchmark, block_words)
+    if len(blocks) == 1:
+        return _removed(documents, blocks[0], kind)
+    # judged on the input, so the blocks' findings are gathered before anything is cut
+    rows, mark = _marked(documents)
+    found = find_marked(rows, blocks, mark).where("size(spans) > 0").select(F.col("mark").alias(f"{mark}m"), F.col("spans").alias(f"{mark}s"))
+    both = rows.join(found, F.col(mark) == F.col(f"{mark}m"), "left").select(*documents.columns, f"{mark}s")
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        for part in slices(batches, 256):
+            yield pa.RecordBatch.from_pylist([_with_text(row, row.pop(f"{mark}s")) for row in part.to_pylist()], schema=to_arrow_schema(kind))
+
+    return both.mapInArrow(trimmed(run), kind)
 
 
 def _removed(documents: DataFrame, items: DataFrame, kind) -> DataFrame:
@@ -299,24 +327,19 @@ def _removed(documents: DataFrame, items: DataFrame, kind) -> DataFrame:
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, shard, rows = to_arrow_schema(kind), Shard(shipped.value), []
+        arrow, shard, rows, held = to_arrow_schema(kind), Shard(shipped.value), [], 0
 
         def out():
-            for (i,), _, spans, _ in shard.flush():
-                if spans:
-                    rows[i]["text"] = cut_spans(rows[i]["text"], spans)
-                    if "n_chars" in rows[i]:
-                        rows[i]["n_chars"] = len(rows[i]["text"])
-            return pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for row in batch.slice(at, 256).to_pylist():
-                    shard.add((len(rows),), words_of(row["text"]))
-                    rows.append(row)
-                    if shard.words >= SHARD_WORDS or len(rows) >= 20_000:
-                        yield out()
-                        rows = []
+            return pa.RecordBatch.from_pylist([_with_text(rows[i], spans) for (i,), _, spans, _ in shard.flush()], schema=arrow)
+
+        for part in slices(batches, 256):
+            for row in part.to_pylist():
+                shard.add((len(rows),), words_of(row["text"]))
+                rows.append(row)
+                held += len(row["text"] or "")
+                if shard.full or held >= SHARD_CHARS:  # texts of few words are bounded by their characters
+                    yield out()
+                    rows, held = [], 0
         if rows:
             yield out()
 
