@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -202,10 +203,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _with_factors(documents: DataFrame, extra: list[str], factor: int = FACTOR, gram: int = GRAM) -> DataFrame:
-    found = factors(documents, factor, gram).select(F.col("doc_id").alias("_fd"), F.col("tk").alias("_ft"), F.col("f").alias("_f"))
-    keyed = documents.select(*extra, F.xxhash64("text").alias("_tk"))
-    return keyed.join(found, (F.col("doc_id").cast("long") == F.col("_fd")) & (F.col("_tk") == F.col("_ft")), "left").select(*extra, "_f")
+def _with_factors(documents: DataFrame, factor: int = FACTOR, gram: int = GRAM) -> tuple[DataFrame, str]:
+    """documents with their factors in a column of a generated name, and that name."""
+    mark = f"_{uuid.uuid4().hex[:12]}"
+    found = factors(documents, factor, gram).select(F.col("doc_id").alias(f"{mark}d"), F.col("tk").alias(f"{mark}t"), F.col("f").alias(mark))
+    keyed = documents.withColumn(f"{mark}k", F.xxhash64("text"))
+    both = keyed.join(found, (F.col("doc_id").cast("long") == F.col(f"{mark}d")) & (F.col(f"{mark}k") == F.col(f"{mark}t")), "left")
+    return both.select(*[F.col(f"`{c}`") for c in documents.columns], mark), mark
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -229,7 +233,7 @@ def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
                     out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256"]) if out else pa.RecordBatch.from_pylist([], schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]))
 
-    return _with_factors(docs, ["doc_id", "text"]).mapInArrow(trimmed(run), schema)
+    return _with_factors(docs)[0].mapInArrow(trimmed(run), schema)
 
 
 def cut_repeats(documents: DataFrame) -> DataFrame:
@@ -243,7 +247,7 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
             done = at[e][0] if e < len(at) else len(text)
         return "".join([*out, text[done:]])
 
-    columns, schema = documents.columns, documents.schema
+    schema, (rows, mark) = documents.schema, _with_factors(documents)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -251,13 +255,13 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
         kind = to_arrow_schema(schema)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256).to_pylist()
-                for row in rows:
-                    f = row.pop("_f")
+                part = batch.slice(at, 256).to_pylist()
+                for row in part:
+                    f = row.pop(mark)
                     if f:
                         row["text"] = cut(row["text"], f)
                         if "n_chars" in row:
                             row["n_chars"] = len(row["text"])
-                yield pa.RecordBatch.from_pylist(rows, schema=kind)
+                yield pa.RecordBatch.from_pylist(part, schema=kind)
 
-    return _with_factors(documents, columns).mapInArrow(trimmed(run), schema)
+    return rows.mapInArrow(trimmed(run), schema)
