@@ -34,7 +34,7 @@ HASHING = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 def grams(text: str | None) -> np.ndarray | None:
     """Buckets of all n-grams of a text, or None if it has no letter."""
     t = NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
-    if not t:
+    if not t or not t.isalpha() and not any(map(str.isalpha, t)):  # some numbers, such as ½, are word characters but no letters
         return None
     c = np.frombuffer(f" {t} ".encode("utf-32-le"), np.uint32)
     out, h = [], np.zeros(len(c), np.uint32)
@@ -123,7 +123,7 @@ def fit(documents: DataFrame, max_train: int = MAX_TRAIN, folds: int = FOLDS) ->
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))  # few enough texts come to the driver, whatever the table's size
     part = min(1.0, max_train / max(total, 1))
     seldom = [r["lang"] for r in train.groupBy("lang").count().where(F.col("count") * part < LEAST).collect()] if part < 1 else []
-    sample = train.where(share < int(1_000_000 * part)).where(~F.col("lang").isin(seldom)).select("doc_id", "text", "lang").limit(2 * max_train).collect()
+    sample = train.where(share < int(1_000_000 * part)).where(~F.col("lang").isin(seldom)).select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text", "lang").orderBy("h", "lang").limit(2 * max_train).collect()
     if seldom:
         order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
         few = train.where(F.col("lang").isin(seldom)).select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text", "lang")
