@@ -2,10 +2,12 @@
 
 Folding lower-cases, maps look-alike letters to Latin ones, and reads digits and symbols inside words as
 letters. Lexicon entries start at a word's start; an entry may be a whole word or a word's beginning. Phrases
-that turn an entry harmless cancel its weight. The weight found is normalised by the text's length, and a
+that turn an entry harmless, learned around whole words and beginnings alike, cancel that entry's weight. The weight found is normalised by the text's length, and a
 logistic curve fitted to the labelled training rows turns it into a score.
 
-Null and empty texts have no hits and get the score of a text without hits; repeated rows are scored alike.
+Null and empty texts have no hits and get the score of a text without hits; repeated rows are scored alike. A null id
+is scored and teaches nothing. Very long texts are scanned whole. Ties among entries and phrases go by spelling. Empty
+tables give no rows, and without labels of both kinds every text gets the labels' rate. Other columns are carried along.
 """
 
 from __future__ import annotations
@@ -85,58 +87,68 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, min_df: int = M
     return kept
 
 
-def automaton(lexicon: dict[str, float], exceptions: dict[str, str] | None = None):
-    """exceptions: folded phrase -> the entry that it makes harmless."""
+def automaton(lexicon: dict[str, float], exceptions: dict[str, list[str]] | None = None):
+    """exceptions: folded phrase -> the entries that it makes harmless."""
     import ahocorasick
 
-    auto = ahocorasick.Automaton()
+    auto, at = ahocorasick.Automaton(), defaultdict(list)
     for term, w in lexicon.items():
-        auto.add_word(term.rstrip("$"), (len(term.rstrip("$")), term.endswith("$"), w, False))
-    for phrase in exceptions or {}:
-        auto.add_word(phrase, (len(phrase), True, 0.0, True))
+        at[term.rstrip("$")].append((len(term.rstrip("$")), term.endswith("$"), w, term, False))
+    for phrase, terms in (exceptions or {}).items():
+        at[phrase] += [(len(phrase), True, 0.0, term, True) for term in terms]
+    for key, entries in at.items():  # a word and a beginning may be spelled alike
+        auto.add_word(key, entries)
     if len(auto):
         auto.make_automaton()
     return auto
 
 
 def measure(auto, text: str | None) -> tuple[float, int, int]:
-    """Weight of the entries found, their number, and the number of words. Of overlapping entries of a word, the heaviest counts."""
+    """Weight of the entries found, their number, and the number of words. Of overlapping entries of a word, the heaviest
+    counts. An exception phrase excuses its own entry where that stands inside it."""
     if not text:
         return 0.0, 0, 0
     t = fold(text)
-    n_words, hits, exempt = t.count(" ") + t.count("\n") + 1, {}, []
+    n_words, hits, exempt = t.count(" ") + t.count("\n") + 1, defaultdict(list), []
     if len(auto):
         size = len(t)
-        for end, (n, whole, w, excused) in auto.iter(t):
-            start = end - n + 1
-            if start and t[start - 1].isalpha() or whole and end + 1 < size and t[end + 1].isalpha():
-                continue
-            if excused:
-                exempt.append((start, end))
-            elif w > hits.get(start, 0.0):
-                hits[start] = w
-    for a, b in exempt:
+        for end, entries in auto.iter(t):
+            for n, whole, w, term, excused in entries:
+                start = end - n + 1
+                if start and t[start - 1].isalpha() or whole and end + 1 < size and t[end + 1].isalpha():
+                    continue
+                if excused:
+                    exempt.append((start, end, term))
+                else:
+                    hits[start].append((w, term))
+    for a, b, term in exempt:
         for s in [s for s in hits if a <= s <= b]:
-            del hits[s]
-    return sum(hits.values()), len(hits), n_words
+            hits[s] = [h for h in hits[s] if h[1] != term]
+    weights = [max(h)[0] for h in hits.values() if h]
+    return sum(weights), len(weights), n_words
 
 
-def learn_exceptions(sample: DataFrame, lexicon: dict[str, float], limit: int = MAX_PHRASES, min_df: int = MIN_DF) -> dict[str, str]:
+def learn_exceptions(sample: DataFrame, lexicon: dict[str, float], limit: int = MAX_PHRASES, min_df: int = MIN_DF) -> dict[str, list[str]]:
     """Two-word phrases around an entry that occur in harmless rows at least min_df times and in none that is labelled toxic."""
-    words = {t.rstrip("$") for t in lexicon if t.endswith("$")}
+
+    def entries(word: str) -> list[str]:
+        return [t for t in (f"{word}$", *(word[:n] for n in PREFIXES if len(word) >= n)) if t in lexicon]
 
     def pairs():
         def f(row):
             got, toks = set(), LETTERS.findall(fold(row["text"] or ""))
-            for a, b in zip(toks, toks[1:]):
-                if a in words or b in words:
-                    got.add((f"{a} {b}", a if a in words else b))
+            found = [entries(w) for w in toks]
+            for k in range(len(toks) - 1):
+                got.update((f"{toks[k]} {toks[k + 1]}", t) for t in (*found[k], *found[k + 1]))
             return [{"phrase": p, "term": t, "label": row["label"]} for p, t in got]
 
         return f
 
-    rows = map_rows(sample, pairs, "phrase string, term string, label int", rows=20_000).groupBy("phrase", "term").agg(F.sum("label").alias("d1"), F.count("*").alias("d")).where((F.col("d1") == 0) & (F.col("d") >= min_df)).orderBy(F.desc("d"), "phrase").limit(limit).collect()
-    return {r["phrase"]: r["term"] for r in rows}
+    rows = map_rows(sample, pairs, "phrase string, term string, label int", rows=20_000).groupBy("phrase", "term").agg(F.sum("label").alias("d1"), F.count("*").alias("d")).where((F.col("d1") == 0) & (F.col("d") >= min_df)).orderBy(F.desc("d"), "phrase", "term").limit(limit).collect()
+    out: dict[str, list[str]] = defaultdict(list)
+    for r in rows:
+        out[r["phrase"]].append(r["term"])
+    return dict(out)
 
 
 def _features(weight: float, hits: int, n_words: int) -> list[float]:
