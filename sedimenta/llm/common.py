@@ -55,12 +55,14 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
 
 
 def dropped(df: DataFrame) -> None:
-    """Removes a table made by saved() that nothing reads any more."""
+    """Removes a table made by saved() that nothing reads any more. Shuffle files behind tables that are written stay until
+    the driver's JVM collects its garbage, which may take long in a small driver, so it is asked to."""
     path = getattr(df, "_scratch_path", None)
     if path:
         jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        jvm.System.gc()
 
 
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
