@@ -9,7 +9,8 @@ was not predicted is coded by the file's order-1 frequencies where they pay for
 order-0 frequencies elsewhere. The model is whole numbers only, so that any machine decodes what another has encoded.
 LANES blocks are coded side by side with vector operations. Each block has a CRC-32 of its ids, checked when it is read.
 
-Ids come from a table of distinct words with what touches them, each encoded once by the library; texts with characters
+Ids come from a table of distinct words with what touches them, made of a table of distinct pre-tokens, each encoded once
+by the library; texts with characters
 outside a range whose rules are known here go to the library whole. Null counts as empty: the end id only. Null ids
 come first. Documents of equal id follow each other by a hash of their text; rows that are equal in both are
 interchangeable. So neither many rows of one id nor repeated rows meet in one task. A very long text is encoded whole
@@ -41,6 +42,7 @@ ROOM = 18
 MAGIC, END_ID, TABLE_ROWS = b"CMRC2\0", 1, 300_000
 
 PLAIN = re.compile(r"[\t-\r\x20-\x7e\xc0-\xff]*")
+PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 _held: dict[str, Encoder] = {}
 
 
@@ -66,23 +68,29 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.lib, self.ids, self.end = Tokenizer.from_file(path), Generations(rows), struct.pack("<H", END_ID)
-        self.mark = self._library("|")
+        self.lib, self.end = Tokenizer.from_file(path), struct.pack("<H", END_ID)
+        self.ids, self.parts = Generations(rows), Generations(rows)
+        vocabulary = self.lib.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _library(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        """Encodes words as one text, with a mark between them to tell where each ends; words that hold the mark alone."""
-        words = [w for w in new if "|" not in w]
-        ids = np.array(self.lib.encode(" | ".join(words), add_special_tokens=False).ids, "<u2") if words else np.empty(0, "<u2")
-        at = np.flatnonzero(ids == np.frombuffer(self.mark, "<u2")[0]) if len(self.mark) == 2 else ()
-        if words and len(at) == len(words) - 1:
-            data = ids.tobytes()
-            self.ids.update(zip(words, map(data.__getitem__, map(slice, [0, *(2 * at + 2).tolist()], [*(2 * at).tolist(), len(data)]))))
-            new = [w for w in new if "|" in w]
-        for w in new:
-            self.ids[w] = self._library(w)
+    def _learn(self, words: set[str]) -> None:
+        """Adds words from the table of their pre-tokens; new pre-tokens go to the library as one text."""
+        split = [(w, PRE_TOKENS.findall(w)) for w in words]
+        new = list(self.parts.absent(set(chain.from_iterable(p for _, p in split))))
+        if new:
+            ids = np.array(self.lib.encode(" ".join(new), add_special_tokens=False).ids, "<u2")
+            at = 2 * np.flatnonzero(self.ends[ids]) + 2
+            if len(at) == len(new):
+                data = ids.tobytes()
+                self.parts.update(zip(new, map(data.__getitem__, map(slice, [0, *at[:-1].tolist()], at.tolist()))))
+            else:
+                self.parts.update((p, self._library(p)) for p in new)
+        find = self.parts.__getitem__
+        self.ids.update((w, find(p[0]) if len(p) == 1 else b"".join(map(find, p))) for w, p in split)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         every = [t.lower().split() if t and PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
