@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions.text import full_years
@@ -256,27 +256,47 @@ def inventory_daily_snapshot(s: dict[str, DataFrame], items: DataFrame, contents
 
     `targets` (inventory_id, from_date) gives the items to build and the day from which; None: all from `first`.
     An item is on loan from the rental day up to the day before the return, one day at least; overlapping loans count once.
+
+    Items are followed by the days on which something changes: a loan begins, ends or becomes overdue, a version of the
+    item begins, the item goes. Between two of them every day is alike, so all joins and the shuffle by item see a row for
+    each change only, and days are spread out last.
     """
     lo, hi = F.lit(first).cast("date"), F.lit(last).cast("date")
     base = _in_service(s).withColumn("from_date", lo) if targets is None else _in_service(s).join(targets, "inventory_id")
     gone = F.when(F.col("status") == "Retired", F.coalesce("after_last", "in_service_date")).alias("gone_from")
-    dense = base.select("inventory_id", "content_id", gone, F.explode(joins.days_between(F.greatest("from_date", "in_service_date"), hi)).alias("day"))
-    loans = s["rental"] if targets is None else s["rental"].join(targets.select("inventory_id"), "inventory_id", "left_semi")
+    base = base.select("inventory_id", "content_id", gone, F.greatest("from_date", "in_service_date").alias("begin")).where(F.col("begin") <= hi)
+    loans = s["rental"].join(base.select("inventory_id"), "inventory_id", "left_semi") if targets is not None else s["rental"]
     until = F.least(F.greatest(F.date_sub(F.coalesce("return_date", F.date_add(hi, 1)), 1), F.col("rental_date")), hi)
-    on_loan = loans.select("inventory_id", F.explode(joins.days_between(F.greatest("rental_date", lo), until)).alias("day"), "due_date").select("inventory_id", "day", F.lit(1).alias("loan"), (F.col("day") > F.col("due_date")).cast("int").alias("over"), F.lit(0).alias("starts"), F.lit(0).alias("returns"))
-    starts = loans.select("inventory_id", F.col("rental_date").alias("day"), F.lit(0).alias("loan"), F.lit(0).alias("over"), F.lit(1).alias("starts"), F.lit(0).alias("returns"))
-    returns = loans.where("return_date IS NOT NULL").select("inventory_id", F.col("return_date").alias("day"), F.lit(0).alias("loan"), F.lit(0).alias("over"), F.lit(0).alias("starts"), F.lit(1).alias("returns"))
-    moves = on_loan.unionByName(starts).unionByName(returns).groupBy("inventory_id", "day").agg(F.max("loan").alias("loan"), F.max("over").alias("over"), F.sum("starts").alias("starts"), F.sum("returns").alias("returns"))
-    daily = dense.join(moves, ["inventory_id", "day"], "left").fillna(0, ["loan", "over", "starts", "returns"])
-    v = joins.versions_asof(daily, items.select("inventory_id", "inventory_key", "item_status", "warehouse_id", "effective_from", "effective_to"), "inventory_id", "day")
+    deltas = ("loan", "over", "starts", "returns")
+
+    def change(day: Column, **by: int) -> Column:
+        return F.struct(day.alias("day"), *[F.lit(by.get(d, 0)).alias(d) for d in deltas])
+
+    due = F.greatest(F.date_add("due_date", 1), "rental_date")
+    none = F.array(change(F.lit(None).cast("date"), loan=0))
+    of_loan = F.concat(
+        F.array(change(F.col("rental_date"), loan=1, starts=1), change(F.date_add("rental_date", 1), starts=-1), change(F.date_add(until, 1), loan=-1)),
+        F.when(due <= until, F.array(change(due, over=1), change(F.date_add(until, 1), over=-1))).otherwise(none),
+        F.when(F.col("return_date").isNotNull(), F.array(change(F.col("return_date"), returns=1), change(F.date_add("return_date", 1), returns=-1))).otherwise(none),
+    )
+    moves = loans.select("inventory_id", F.explode(of_loan).alias("_")).select("inventory_id", "_.*")
+    marks = base.select("inventory_id", F.explode(F.array(change(F.col("begin")), change(F.col("gone_from")))).alias("_")).select("inventory_id", "_.*")
+    versions = items.where("inventory_id IS NOT NULL").select("inventory_id", *[F.col("effective_from").alias("day") if c == "day" else F.lit(0).alias(c) for c in ("day", *deltas)])
+    changes = moves.unionByName(marks).unionByName(versions).where("day IS NOT NULL").groupBy("inventory_id", "day").agg(*[F.sum(d).alias(d) for d in deltas])
+    by_day = Window.partitionBy("inventory_id").orderBy("day")
+    runs = changes.select("inventory_id", "day", F.lead("day").over(by_day).alias("next"), *[F.sum(d).over(by_day).alias(d) for d in deltas])
+    runs = runs.join(base, "inventory_id").withColumns({"start": F.greatest("day", "begin"), "end": F.least(F.coalesce(F.date_sub("next", 1), hi), hi)}).where(F.col("start") <= F.col("end"))
+    v = joins.versions_asof(runs, items.select("inventory_id", "inventory_key", "item_status", "warehouse_id", "effective_from", "effective_to"), "inventory_id", "start")
     later = F.col("effective_from") > F.lit(merges.FIRST_DATE).cast("date")
-    retired = F.coalesce((F.col("item_status") == "Retired") & (later | (F.col("day") >= F.col("gone_from"))) & (F.col("loan") == 0), F.lit(False))
+    retired = F.coalesce((F.col("item_status") == "Retired") & (later | (F.col("start") >= F.col("gone_from"))) & (F.col("loan") <= 0), F.lit(False))
     j = v.where(~retired).join(contents.select("content_id", "content_key"), "content_id", "left").join(warehouses.select("warehouse_id", "warehouse_key"), "warehouse_id", "left")
     key = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
-    return j.select(
-        date_key(F.col("day")).alias("date_key"), key("inventory_key"), key("content_key"), key("warehouse_key"), "inventory_id", F.col("starts").cast("int").alias("rental_count"), F.col("returns").cast("int").alias("return_count"), F.lit(1).alias("days_in_service"),
-        F.col("loan").alias("days_rented"), (1 - F.col("loan")).alias("days_available"), F.col("over").alias("is_overdue"), (F.col("loan") * 100).cast("decimal(5,2)").alias("utilisation_pct"),
+    loan, over = (F.col("loan") > 0).cast("int"), (F.col("over") > 0).cast("int")
+    days = j.select(
+        key("inventory_key"), key("content_key"), key("warehouse_key"), "inventory_id", F.col("starts").cast("int").alias("rental_count"), F.col("returns").cast("int").alias("return_count"), F.lit(1).alias("days_in_service"), loan.alias("days_rented"), (1 - loan).alias("days_available"),
+        over.alias("is_overdue"), (loan * 100).cast("decimal(5,2)").alias("utilisation_pct"), F.explode(joins.days_between(F.col("start"), F.col("end"))).alias("day"),
     )
+    return days.select(date_key(F.col("day")).alias("date_key"), *[c for c in days.columns if c != "day"])
 
 
 def snapshot_targets(items: DataFrame, changed: DataFrame, first, previous_end, last) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions.text import flags, initcap_any
@@ -105,14 +105,21 @@ def scd2_asof_join(spark, d):
 
 
 def _snapshot(spark, d) -> DataFrame:
-    """One row an item and day, from the item's first day to the last order's, as the reference's window has it."""
-    loans = _t(spark, d, "orders").select(F.col("o_custkey").alias("item"), _day("o_orderdate").alias("b"), F.date_add(_day("o_orderdate"), (F.col("o_orderkey") % 14).cast("int")).alias("e"), (F.col("o_orderpriority") == "1-URGENT").alias("late"))
-    window = F.broadcast(loans.agg(F.max("b").alias("hi")))
-    items = loans.groupBy("item").agg(F.min("b").alias("first_day"))
+    """One row an item and day, from the item's first day to the last order's, as the reference's window has it.
+
+    Items are followed by the days on which a loan begins or ends; the days between are alike and are spread out last, so
+    no join and no shuffle sees a row for each day.
+    """
+    loans = _t(spark, d, "orders").select(F.col("o_custkey").alias("item"), _day("o_orderdate").alias("b"), F.date_add(_day("o_orderdate"), (F.col("o_orderkey") % 14).cast("int")).alias("e"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("late"))
+    window = F.broadcast(loans.agg(F.max("b").alias("hi")))  # one row
     # on loan from the first day up to the day before the return, one day at least; overlapping loans of an item count once
-    busy = loans.crossJoin(window).select("item", "late", F.explode(joins.days_between(F.col("b"), F.least(F.greatest("b", F.date_sub("e", 1)), "hi"))).alias("day")).groupBy("item", "day").agg(F.bool_or("late").alias("overdue"))
-    dense = items.crossJoin(window).select("item", F.explode(joins.days_between(F.col("first_day"), F.col("hi"))).alias("day"))
-    return dense.join(busy, ["item", "day"], "left").select("item", "day", F.col("overdue").isNotNull().cast("int").alias("on_loan"), F.coalesce(F.col("overdue"), F.lit(False)).cast("int").alias("overdue"))
+    ends = F.date_add(F.greatest("b", F.date_sub("e", 1)), 1)
+    both = F.array(F.struct(F.col("b").alias("day"), F.lit(1).alias("n"), F.col("late")), F.struct(ends.alias("day"), F.lit(-1).alias("n"), (-F.col("late")).alias("late")))
+    changes = loans.select("item", F.explode(both).alias("_")).groupBy("item", "_.day").agg(F.sum("_.n").alias("n"), F.sum("_.late").alias("late"))
+    by_day = Window.partitionBy("item").orderBy("day")
+    runs = changes.select("item", "day", F.lead("day").over(by_day).alias("next"), F.sum("n").over(by_day).alias("n"), F.sum("late").over(by_day).alias("late")).crossJoin(window)
+    days = F.explode(joins.days_between(F.col("day"), F.least(F.coalesce(F.date_sub("next", 1), F.col("hi")), F.col("hi"))))
+    return runs.select("item", (F.col("n") > 0).cast("int").alias("on_loan"), (F.col("late") > 0).cast("int").alias("overdue"), days.alias("day")).select("item", "day", "on_loan", "overdue")
 
 
 def inventory_daily_snapshot(spark, d):
