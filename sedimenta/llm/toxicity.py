@@ -33,7 +33,7 @@ DIGITS = "0 o 1 i 3 e 4 a 5 s 7 t 8 b @ a $ s ! i"
 
 GLYPHS = {ord(a): b for a, b in zip(LOOK_ALIKES.split()[::2], LOOK_ALIKES.split()[1::2])}
 LEET = {ord(a): b for a, b in zip(DIGITS.split()[::2], DIGITS.split()[1::2])}
-MIXED = re.compile(r"(?<![a-z0-9@$!])[a-z@$!]*[0-9@$!][a-z0-9@$!]*(?<=[a-z0-9])")
+MIXED = re.compile(r"(?<![a-z0-9@$!])[a-z]*[0-9@$!][a-z0-9@$!]*")  # no two parts can take the same character, so it is linear
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -44,9 +44,9 @@ def fold(text: str) -> str:
         t = t.translate(GLYPHS)
 
     def read(m: re.Match) -> str:
-        w = m[0]
+        w = m[0].rstrip("@$!")  # what ends a word is punctuation
         letters = sum("a" <= c <= "z" for c in w)
-        return w.translate(LEET) if letters >= 2 else w
+        return w.translate(LEET) + m[0][len(w) :] if letters >= 2 else m[0]
 
     return MIXED.sub(read, t)
 
