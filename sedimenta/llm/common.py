@@ -154,3 +154,21 @@ def bounded_labels(labels: DataFrame, column: str, limit: int, folds: int, value
         rows = rows.where(F.col("label") == value)
     rows = rows.where(~hold_out(F.col("doc_id"), folds)).groupBy("doc_id").agg(F.max("label").alias("label"))
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+
+
+#: Classes beyond this share of all rows are joined by broadcast; there are fewer of them than its inverse.
+HOT_SHARE = 0.005
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str | list[str]) -> DataFrame:
+    """rows, each of a key that is not null, joined to classes (one row for each key, `n`: how many rows have it).
+
+    The rows of a class that holds many are not moved to one task: classes beyond HOT_SHARE of all rows, fewer than
+    1 / HOT_SHARE by that alone, are broadcast, and the rest meets by a shuffle in which no key has more than that share.
+    """
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(1000, int(total * HOT_SHARE))
+    hot = classes.where(F.col("n") > least)
+    many = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return many.unionByName(rest.join(classes.where(F.col("n") <= least), key))
