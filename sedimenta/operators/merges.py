@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 FIRST_DATE = "1900-01-01"
 #: Ranges in which new members are numbered side by side.
 RANGES = 64
+#: Keys of the sample that the ranges are cut by.
+SAMPLE = 4096
 
 
 def _same(left: str, right: str, columns: list[str]) -> Column:
@@ -86,16 +88,18 @@ def scd1(current: DataFrame, incoming: DataFrame, key: str, surrogate: str) -> D
 def with_surrogates(rows: DataFrame, current: DataFrame, key: str | list[str], surrogate: str) -> DataFrame:
     """Numbers the rows without a surrogate upwards from the greatest, in key order. Only new members are ranked.
 
-    The first key column is cut into ranges at quantiles; each range is ranked on its own and starts where the ones
-    before it end. Only the cuts and a count for each range are gathered.
+    The first key column, of any type that has an order, is cut into ranges at quantiles of a bounded sample; each range is
+    ranked on its own and starts where the ones before it end. The sample decides how even the ranges are and nothing else.
+    Only it and a count for each range are gathered.
     """
     keys = [key] if isinstance(key, str) else key
     top = current.agg(F.coalesce(F.max(surrogate), F.lit(0)).cast("long")).first()[0]
     new = rows.where(F.col(surrogate).isNull())
-    cuts = new.agg(F.percentile_approx(F.col(keys[0]).cast("double"), [i / RANGES for i in range(1, RANGES)])).first()[0] or []
-    place = F.lit(0)
-    for cut in sorted(set(cuts)):
-        place = place + (F.col(keys[0]).cast("double") > F.lit(cut)).cast("int")
+    found = new.select(keys[0]).where(F.col(keys[0]).isNotNull()).orderBy(F.xxhash64(keys[0])).limit(SAMPLE).collect()
+    sample = sorted(r[0] for r in found)
+    cuts = sorted({sample[i * len(sample) // RANGES] for i in range(1, RANGES)}) if sample else []
+    kind = rows.schema[keys[0]].dataType
+    place = F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]), lambda c: c < F.col(keys[0]))) if cuts else F.lit(0)
     new = new.withColumn("_range", place)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
     starts = new.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -177,13 +177,15 @@ def plans_asof(days: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 
 def customer_daily_activity(s: dict[str, DataFrame], customers: DataFrame, plans: DataFrame, dates: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """One row for each customer and day with activity; `only` (customer_id) restricts it to changed customers.
+    """One row for each customer and day with activity; `only` (customer_id, or that and month_key) restricts it.
 
-    customer_id is kept besides the surrogate key, so that a rebuild can delete rows of unknown customers as well.
+    customer_id is kept besides the surrogate key, so that a rebuild can delete rows of unknown customers as well;
+    month_key is that of the activity, also where the calendar lacks the day.
     """
 
     def on(name: str, day: str) -> DataFrame:
-        d = s[name] if only is None else s[name].join(only, "customer_id", "left_semi")
+        d = s[name].withColumn("month_key", month_key(F.col(day)))
+        d = d if only is None else d.join(only, only.columns, "left_semi")
         d = d.where("NOT is_duplicate") if name in ("streaming_session", "payment") else d
         return d.withColumn("activity_date", F.col(day).cast("date"))
 
@@ -205,7 +207,7 @@ def customer_daily_activity(s: dict[str, DataFrame], customers: DataFrame, plans
     plan = plans_asof(daily.select("customer_id", "activity_date"), s["customer_subscription"]).join(plans.select("plan_id", "subscription_plan_key"), "plan_id", "left")
     keyed = known.join(plan, ["customer_id", "activity_date"], "left").join(F.broadcast(dates.select(F.col("full_date").alias("activity_date"), "date_key")), "activity_date", "left")
     return keyed.select(
-        F.coalesce("date_key", F.lit(-1)).alias("date_key"), F.coalesce("customer_key", F.lit(-1)).alias("customer_key"), F.coalesce("subscription_plan_key", F.when(F.col("plan_id").isNull(), 0).otherwise(-1)).alias("subscription_plan_key"), "customer_id", *[_money(m).alias(m) if m in AMOUNTS else m for m in ACTIVITY],
+        F.coalesce("date_key", F.lit(-1)).alias("date_key"), F.coalesce("customer_key", F.lit(-1)).alias("customer_key"), F.coalesce("subscription_plan_key", F.when(F.col("plan_id").isNull(), 0).otherwise(-1)).alias("subscription_plan_key"), "customer_id", *[_money(m).alias(m) if m in AMOUNTS else m for m in ACTIVITY], month_key(F.col("activity_date")).alias("month_key"),
     )
 
 
@@ -300,7 +302,10 @@ def inventory_daily_snapshot(s: dict[str, DataFrame], items: DataFrame, contents
 
 
 def snapshot_targets(items: DataFrame, changed: DataFrame, first, previous_end, last) -> DataFrame:
-    """inventory_id, from_date: changed items anew from `first`, the others only from the day after the last snapshot."""
-    whole = items.join(changed, "inventory_id", "left_semi").select("inventory_id", F.lit(first).cast("date").alias("from_date"))
-    tail = items.join(changed, "inventory_id", "left_anti").select("inventory_id", F.date_add(F.lit(previous_end).cast("date"), 1).alias("from_date"))
-    return whole.unionByName(tail.where(F.col("from_date") <= F.lit(last).cast("date")))
+    """inventory_id, from_date: changed items (inventory_id, from_date; null: from `first`) anew from there, or from the day
+    after the last snapshot where that is earlier; the others only from that day."""
+    new, end = F.date_add(F.lit(previous_end).cast("date"), 1), F.lit(last).cast("date")
+    begin = F.greatest(F.coalesce("from_date", F.lit(first).cast("date")), F.lit(first).cast("date"))
+    whole = changed.join(items.select("inventory_id"), "inventory_id", "left_semi").select("inventory_id", F.least(begin, new).alias("from_date"))
+    tail = items.join(changed, "inventory_id", "left_anti").select("inventory_id", new.alias("from_date"))
+    return whole.unionByName(tail).where(F.col("from_date") <= end)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.plans import checks, fixture, gold, runner, views
 from sedimenta.plans.entities import NAMES, business_key, key_of, schema_of
-from sedimenta.plans.medallion import AUDIT, MARKS, REJECTS, Warehouse, change_set, cleansed, typed_rows
+from sedimenta.plans.medallion import AUDIT, MARKS, MONTH_COLUMNS, REJECTS, Warehouse, change_feed, change_set, cleansed, typed_rows
 from sedimenta.plans.warehouse import D_INITCAP
 
 NOW, LATER = dt.datetime(2024, 5, 1, 12), dt.datetime(2024, 5, 2, 12)
@@ -33,6 +33,22 @@ def scratch(spark: SparkSession) -> str:
     return root
 
 
+MOVED_AT = dt.datetime(2024, 5, 3, 12)
+
+
+def moved(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """The warehouse after a first load and one of rows that moved to other days, customers, items and titles, or came late."""
+    key = (spark.sparkContext.applicationId, sf_dir, "moved")
+    if key not in _built:
+        # many small buckets and months, as a large table has them
+        w = Warehouse(spark, f"{scratch(spark)}/warehouse-{uuid.uuid4().hex}", bucket_rows=20_000)
+        runner.run_all(w, fixture.sources(spark, sf_dir, lambda n: fixture.first_sql(n, r"{\1}")), "b1", NOW)
+        final = fixture.sources(spark, sf_dir, lambda n: fixture.final_sql(n, r"{\1}"))
+        runner.run_all(w, final, "b2", MOVED_AT)
+        _built[key] = w
+    return _built[key]
+
+
 def built(spark: SparkSession, sf_dir: str, changed: bool = False) -> Warehouse:
     """The warehouse after the first load; changed: after a replay of it and the day of changes as well."""
     key = (spark.sparkContext.applicationId, sf_dir, changed)
@@ -107,14 +123,14 @@ D_CLEAN: dict[str, tuple[dict[str, str], list[tuple[str, str]]]] = {
 D_SAME = {"customer": "lower(trim(email))", "streaming_session": "customer_id, content_id, device_id, start_time", "payment": "customer_id, payment_type, amount, payment_date, rental_id, subscription_id"}
 
 
-def _typed_sql(name: str) -> str:
+def _typed_sql(name: str, source=fixture.source_sql) -> str:
     """Typed raw rows with `ok`: nothing mandatory is missing and nothing is unreadable."""
     casts, ok = [], []
     for f in schema_of(name):
         cast = _kind(f.dataType.simpleString(), f.name)
         casts.append(f"{cast} AS {f.name}")
         ok.append(f"{cast} IS NOT NULL" if not f.nullable else f"(nullif({f.name}, '') IS NULL OR {cast} IS NOT NULL)")
-    return f"SELECT {', '.join(casts)}, {' AND '.join(ok)} AS ok FROM ({fixture.source_sql(name)}) raw"
+    return f"SELECT {', '.join(casts)}, {' AND '.join(ok)} AS ok FROM ({source(name)}) raw"
 
 
 def _clean_sql(name: str, rows: str, stamps: bool = False) -> str:
@@ -204,9 +220,9 @@ D_STAR = {
 }
 
 
-def star_sql(last: str) -> str:
+def star_sql(last: str, source=fixture.source_sql) -> str:
     """WITH and everything that a query on silver (s_...) and the star schema may read, then the query."""
-    ctes = [f"t_{n} AS ({_typed_sql(n)})" for n in NAMES] + [f"s_{n} AS ({_silver_sql(n)})" for n in NAMES] + [f"{n} AS ({q})" for n, q in D_STAR.items()]
+    ctes = [f"t_{n} AS ({_typed_sql(n, source)})" for n in NAMES] + [f"s_{n} AS ({_silver_sql(n)})" for n in NAMES] + [f"{n} AS ({q})" for n, q in D_STAR.items()]
     return f"WITH {', '.join(ctes)} {last}"
 
 
@@ -332,7 +348,9 @@ def silver_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_set_of_first_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = change_set(runner.silver_tables(built(spark, sf_dir)), None, NOW)
+    w = built(spark, sf_dir)
+    silver = runner.silver_tables(w)
+    found = change_set({n: f for n in silver if (f := w.feed(n, None, NOW)) is not None}, silver)
     return runner._union([d.groupBy().agg(F.lit(e).alias("entity"), F.count("*").alias("n")) for e, d in found.items()])
 
 
@@ -364,6 +382,52 @@ def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "fact string, rows_that_differ long")
 
 
+# --- after rows have moved, by natural keys ---
+
+
+def moved_customer_daily_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' fact after an incremental build, to be compared with the final source."""
+    s = runner.star(moved(spark, sf_dir))
+    plans = s["subscription_plan"].select("subscription_plan_key", "plan_id")
+    return s["customer_daily_activity"].join(plans, "subscription_plan_key", "left").select("date_key", "customer_id", (F.col("customer_key") > 0).alias("known"), "plan_id", *gold.ACTIVITY)
+
+
+def moved_content_monthly_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runner.star(moved(spark, sf_dir))["content_monthly_performance"].withColumn("known", F.col("content_key") > 0).drop("content_key")
+
+
+def moved_inventory_daily_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = runner.star(moved(spark, sf_dir))
+    f = s["inventory_daily_snapshot"].join(s["content"].select("content_key", "content_id"), "content_key", "left").join(s["warehouse"].select("warehouse_key", "warehouse_id"), "warehouse_key", "left")
+    return f.withColumn("known", F.col("inventory_key") > 0).drop("content_key", "warehouse_key", "inventory_key")
+
+
+def feed_of_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the second load changed in silver: customer, item, title and month before and after."""
+    w = moved(spark, sf_dir)
+    return change_feed({n: f for n in NAMES if (f := w.feed(n, NOW, MOVED_AT)) is not None}).where("action <> 'flag'")
+
+
+_D_SIDES = {"customer": "customer_id", "item": "inventory_id", "content": "content_id"}
+
+
+def _feed_sql() -> str:
+    """Silver of the first source against silver of the final one, row by row."""
+    ctes, out = [], []
+    for n in sorted({*fixture.MOVES, *fixture.LATE}):
+        for v, source in (("a", fixture.first_sql), ("z", fixture.final_sql)):
+            text = _silver_sql(n).replace(f"t_{n}", f"t{v}_{n}")
+            ctes += [f"t{v}_{n} AS ({_typed_sql(n, source)})", f"s{v}_{n} AS ({text})"]
+        names = schema_of(n).names
+        side = lambda v, c, k: f"CAST({v}.{c} AS BIGINT)" if c in names else "CAST(NULL AS BIGINT)"
+        month = lambda v: _MONTH.format(f"{v}.{MONTH_COLUMNS[n]}") if n in MONTH_COLUMNS else "CAST(NULL AS INT)"
+        sides = ", ".join([f"{side(v, c, k)} AS {image}_{k}" for image, v in (("old", "a"), ("new", "z")) for k, c in _D_SIDES.items()] + [f"{month('a')} AS old_month", f"{month('z')} AS new_month"])
+        key = key_of(n)
+        differ = " OR ".join(f"a.{c} IS DISTINCT FROM z.{c}" for c in [*names, "dq_flags"] if c not in key)
+        out.append(f"SELECT '{n}' AS table_name, CAST(z.{key[0]} AS VARCHAR) AS row_key, CASE WHEN a.{key[0]} IS NULL THEN 'insert' ELSE 'update' END AS action, {sides} FROM sz_{n} z LEFT JOIN sa_{n} a ON {' AND '.join(f'a.{k} = z.{k}' for k in key)} WHERE a.{key[0]} IS NULL OR {differ}")
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(out)}"
+
+
 _SOURCED = ", ".join(f"('{n}')" for n in NAMES)
 _COUNT = " UNION ALL ".join(f"SELECT '{n}' AS t, (SELECT count(*) FROM t_{n}) AS r, (SELECT count(*) FROM s_{n}) AS s" for n in NAMES)
 _HISTOGRAM = " UNION ALL ".join(f"SELECT '{n}' AS table_name, unnest(string_split(dq_flags, ',')) AS flag FROM s_{n}" for n, (_, rules) in D_CLEAN.items() if rules)
@@ -399,8 +463,7 @@ QUERIES |= {
     "bronze_versions": (bronze_versions, star_sql("SELECT rental_id, CAST(CASE WHEN rental_id = 6 THEN 2 ELSE 1 END AS BIGINT) AS versions FROM t_rental UNION ALL SELECT 900001, 1")),
     "silver_rental": (silver_rental, star_sql("SELECT rental_id, customer_id, status, late_fee, dq_flags, 'b1' AS _batch_id, false AS is_duplicate FROM s_rental")),
     "silver_flag_histogram": (silver_flags, star_sql(f"SELECT table_name, flag, count(*) AS n FROM ({_HISTOGRAM}) x GROUP BY 1, 2")),
-    "change_set": (change_set_of_first_load, star_sql("""SELECT 'customer' AS entity, count(*) AS n FROM (SELECT customer_id FROM s_customer UNION SELECT customer_id FROM s_customer_address UNION SELECT customer_id FROM s_customer_subscription UNION SELECT customer_id FROM s_streaming_session UNION SELECT customer_id FROM s_rental
-        UNION SELECT customer_id FROM s_payment UNION SELECT customer_id FROM s_support_ticket UNION SELECT customer_id FROM s_review UNION SELECT customer_id FROM s_wishlist) x
+    "change_set": (change_set_of_first_load, star_sql(f"""SELECT 'customer' AS entity, count(*) AS n FROM (SELECT DISTINCT customer_id, {_MONTH.format('d')} AS m FROM f_a0) x
         UNION ALL SELECT 'month', count(DISTINCT strftime(d, '%Y%m')) FROM (SELECT CAST(start_time AS DATE) AS d FROM s_streaming_session UNION SELECT rental_date FROM s_rental UNION SELECT CAST(payment_date AS DATE) FROM s_payment UNION SELECT CAST(review_date AS DATE) FROM s_review UNION SELECT CAST(added_date AS DATE) FROM s_wishlist) y
         UNION ALL SELECT 'inventory', count(*) FROM (SELECT inventory_id FROM s_inventory_item UNION SELECT inventory_id FROM s_rental) z""")),
     "idempotent_replay": (idempotent_replay, "SELECT step, CAST(0 AS BIGINT) AS rows_changed FROM (VALUES ('gold_prepare'), ('dim_subscription_plan'), ('dim_warehouse'), ('dim_content'), ('dim_customer'), ('dim_inventory_item'), ('fact_customer_daily_activity'), ('fact_content_monthly_performance'), ('fact_inventory_daily_snapshot')) AS v(step)"),
@@ -410,6 +473,13 @@ QUERIES |= {
     "validation_checks": _shared(checks.VALIDATION_SQL),
     "profiling_scorecard": (lambda s, d: checks.scorecard({n: typed_rows(x, n) for n, x in fixture.sources(s, d).items()}), star_sql(checks.SCORECARD_SQL)),
 }
+QUERIES |= {
+    "change_feed": (feed_of_moves, _feed_sql()),
+    "moved_customer_daily_activity": (moved_customer_daily_activity, star_sql(f"SELECT date_key, customer_id, customer_key > 0 AS known, plan_id, {', '.join(gold.ACTIVITY)} FROM f_a LEFT JOIN d_plan USING (subscription_plan_key)", fixture.final_sql)),
+    "moved_content_monthly_performance": (moved_content_monthly_performance, star_sql("SELECT * EXCLUDE (content_key), content_key > 0 AS known FROM f_b", fixture.final_sql)),
+    "moved_inventory_daily_snapshot": (moved_inventory_daily_snapshot, star_sql("""SELECT f.* EXCLUDE (inventory_key, content_key, warehouse_key), c.content_id, w.warehouse_id, inventory_key > 0 AS known
+        FROM f_c f LEFT JOIN d_content c USING (content_key) LEFT JOIN d_warehouse w USING (warehouse_key)""", fixture.final_sql)),
+}
 QUERIES |= {name: _shared(text) for name, text in checks.SAMPLES.items()}
 
 

@@ -1,26 +1,32 @@
 """From staged source rows to bronze and silver, with runs, steps, audit, rejects and watermarks in control tables.
 
 A batch is first written under its id; everything else derives from that copy, so a batch that is started again does
-the same again. Bronze is one folder for each batch; silver and control tables switch versions (sources.versions).
-Entities load side by side: a load writes its own folders only, and what loads report goes into the control tables
+the same again. All tables are versioned (sources.versions). Bronze has a part for each batch, with the range of its
+stamps in the log, so that a batch meets only those that can hold its rows. Silver is cut into buckets by key: a batch
+reads and rewrites the buckets that its rows fall into. Each change of silver leaves a feed, the old and the new row
+of every key that changed, whose place stands in the same log entry; what is built on silver starts from these feeds.
+
+Entities load side by side: a load writes its own tables only, and what loads report goes into the control tables
 together, watermarks last. Control tables hold a row for each run, step, batch or distinct reject.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+import time
+import uuid
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions.text import flags
 from sedimenta.operators import joins, merges
 from sedimenta.plans.entities import FLAGGED, business_key, clean_columns, flag_rules, key_of, schema_of
-from sedimenta.sources.versions import Table, not_yet_loaded, since
+from sedimenta.sources.versions import Commit, Conflict, Table, not_yet_loaded
 
 RUNS = "run_id long, pipeline string, full_refresh boolean, triggered_by string, status string, started_at timestamp_ntz, finished_at timestamp_ntz, error string"
 STEPS = "run_id long, step string, rows_inserted long, rows_updated long, rows_deleted long, seconds double, note string"
@@ -29,6 +35,8 @@ MARKS = "name string, value timestamp_ntz"
 REJECTS = "payload_hash string, table_name string, reason string, details string, payload string, first_batch string, last_batch string, occurrence_count long"
 FAILED = "batch_id string, table_name string, error string, failed_at timestamp_ntz"
 KEEP_RUNS = 50
+#: Rows of a bucket of silver when it is made; a table that outgrows its buckets fourfold gets more of them.
+BUCKET_ROWS = 500_000
 STAMPED = ["_batch_id", "_loaded_at"]
 
 
@@ -65,16 +73,6 @@ def _keyed(rows: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
     return rows.withColumns(dict(zip(names, same))), names
 
 
-def flag_duplicates(silver: DataFrame, name: str, loaded_at: dt.datetime) -> DataFrame:
-    """Marks all but the lowest id of each business key, over all of silver. Rows whose mark changes count as loaded anew."""
-    key = key_of(name)
-    rows, names = _keyed(silver.drop("is_duplicate", "duplicate_of_id"), name)
-    ranked = joins.ranked_duplicates(rows, names, key[0]).select(*key, F.col("is_duplicate").alias("_dup"), F.col("duplicate_of_id").alias("_of"))
-    j = silver.join(ranked, key)
-    moved = ~(F.col("is_duplicate").eqNullSafe(F.col("_dup")) & F.col("duplicate_of_id").eqNullSafe(F.col("_of")))
-    return j.withColumns({"_loaded_at": F.when(moved, F.lit(loaded_at)).otherwise(F.col("_loaded_at")), "is_duplicate": F.col("_dup"), "duplicate_of_id": F.col("_of")}).select(silver.columns)
-
-
 @dataclass
 class Load:
     """What one entity's load has done; `rejects` (reason, details, payload) is read from the folder it was written to."""
@@ -94,9 +92,20 @@ class Load:
         self.counts = {"read": self.read, "rejected": self.rejected, "merged": self.merged}
 
 
+def bucket(key: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def _same_thing(name: str, row: str) -> Column:
+    """The business key of a struct's row as one text; null keys are equal."""
+    names = [f"_{i}" for i in range(len(business_key(name)))]
+    columns = {"payment": "customer_id payment_type amount payment_date rental_id subscription_id", "streaming_session": "customer_id content_id device_id start_time", "customer": "email"}[name].split()
+    return F.when(F.col(row).isNotNull(), F.sha2(F.to_json(F.struct(*[F.col(f"{row}.{c}").alias(n) for n, c in zip(names, columns)])), 256))
+
+
 class Warehouse:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.root, self.bucket_rows = spark, root.rstrip("/"), bucket_rows
 
     # --- control tables ---
 
@@ -104,13 +113,15 @@ class Warehouse:
         now = Table(self.spark, f"{self.root}/control/{name}").read()
         return self.spark.createDataFrame([], schema) if now is None else now
 
-    def _set(self, name: str, df: DataFrame) -> None:
-        Table(self.spark, f"{self.root}/control/{name}").replace(df)
+    def _change(self, name: str, change: Callable[[DataFrame | None], DataFrame | None]) -> None:
+        """Changes a control table; begins again from the newer rows where another writer was faster."""
+        Table(self.spark, f"{self.root}/control/{name}").update(change)
 
     def _append(self, name: str, schema: str, rows: list[tuple]) -> None:
         """Control tables but rejects are small: a row for each run, step, batch or mark."""
         if rows:
-            self._set(name, self.control(name, schema).unionByName(self.spark.createDataFrame(rows, schema)).coalesce(1))
+            new = self.spark.createDataFrame(rows, schema)
+            self._change(name, lambda now: (new if now is None else now.unionByName(new)).coalesce(1))
 
     def marks(self) -> dict[str, dt.datetime]:
         return {r["name"]: r["value"] for r in self.control("watermarks", MARKS).collect()}
@@ -121,12 +132,14 @@ class Warehouse:
     def advance(self, marks: dict[str, dt.datetime]) -> None:
         if marks:
             new = self.spark.createDataFrame(list(marks.items()), MARKS)
-            self._set("watermarks", merges.upsert(self.control("watermarks", MARKS), new, ["name"]).coalesce(1))
+            self._change("watermarks", lambda now: new if now is None else merges.upsert(now, new, ["name"]).coalesce(1))
 
     def _update_run(self, run_id: int, **values) -> None:
-        runs = self.control("runs", RUNS)
-        new = [tuple(values.get(c, v) if r["run_id"] == run_id else v for c, v in r.asDict().items()) for r in runs.collect()]
-        self._set("runs", self.spark.createDataFrame(new, RUNS).coalesce(1))
+        def change(runs: DataFrame) -> DataFrame:
+            new = [tuple(values.get(c, v) if r["run_id"] == run_id else v for c, v in r.asDict().items()) for r in runs.collect()]
+            return self.spark.createDataFrame(new, RUNS).coalesce(1)
+
+        self._change("runs", change)
 
     @contextmanager
     def run(self, pipeline: str, now: dt.datetime, full_refresh: bool = False, triggered_by: str = "schedule"):
@@ -139,9 +152,8 @@ class Warehouse:
             self._update_run(run_id, status="FAILED", error=str(e)[:2000], finished_at=now)
             raise
         self._update_run(run_id, status="SUCCEEDED", finished_at=now)
-        steps = self.control("steps", STEPS)
-        if run_id > KEEP_RUNS and steps.where(F.col("run_id") <= run_id - KEEP_RUNS).limit(1).count():
-            self._set("steps", steps.where(F.col("run_id") > run_id - KEEP_RUNS).coalesce(1))
+        old = F.col("run_id") <= run_id - KEEP_RUNS
+        self._change("steps", lambda steps: steps.where(~old).coalesce(1) if steps is not None and steps.where(old).limit(1).count() else None)
 
     def log_steps(self, run_id: int, steps: Iterable[tuple]) -> None:
         """(step, rows inserted, updated, deleted, seconds, note) each."""
@@ -163,40 +175,71 @@ class Warehouse:
             new = new.unionByName(p)
         key = F.sha2(F.concat_ws("\n", "table_name", "reason", "payload"), 256).alias("payload_hash")
         new = new.groupBy(key).agg(*[F.min(c).alias(c) for c in ("table_name", "reason", "details", "payload")], F.min("batch_id").alias("first_batch"), F.max("batch_id").alias("last_batch"), F.count("*").alias("occurrence_count"))
-        both = self.control("rejects", REJECTS).withColumn("_n", F.lit(0)).unionByName(new.withColumn("_n", F.lit(1)))
         keep = [F.min_by(c, "_n").alias(c) for c in ("table_name", "reason", "details", "payload", "first_batch")]
-        self._set("rejects", both.groupBy("payload_hash").agg(*keep, F.max_by("last_batch", "_n").alias("last_batch"), F.sum("occurrence_count").alias("occurrence_count")))
+
+        def change(now: DataFrame | None) -> DataFrame:
+            if now is None:
+                return new
+            both = now.withColumn("_n", F.lit(0)).unionByName(new.withColumn("_n", F.lit(1)))
+            return both.groupBy("payload_hash").agg(*keep, F.max_by("last_batch", "_n").alias("last_batch"), F.sum("occurrence_count").alias("occurrence_count"))
+
+        self._change("rejects", change)
 
     # --- layers ---
 
+    def silver_table(self, name: str) -> Table:
+        return Table(self.spark, f"{self.root}/silver/{name}")
+
     def silver(self, name: str) -> DataFrame | None:
-        return Table(self.spark, f"{self.root}/silver/{name}").read()
+        return self.silver_table(name).read()
 
     def bronze(self, name: str) -> DataFrame | None:
-        path = f"{self.root}/bronze/{name}"
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        exists = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-        return self.spark.read.option("basePath", path).parquet(f"{path}/_batch_id=*") if exists else None
+        return Table(self.spark, f"{self.root}/bronze/{name}").read()
+
+    def feed(self, name: str, after: dt.datetime | None = None, upto: dt.datetime | None = None, beyond: int | None = None) -> DataFrame | None:
+        """The key's columns, `action`, and the structs `old` and `new` of silver rows that changed by loads in (after, upto],
+        or by log entries beyond a number; `entry` is the number of the change. None: nothing changed."""
+        table, found = self.silver_table(name), None
+        for number in reversed(table.numbers()):
+            made = table.entry(number)
+            at = dt.datetime.fromisoformat(made.meta["loaded_at"])
+            if (after is not None and at <= after) or (beyond is not None and number <= beyond):
+                break
+            if upto is None or at <= upto:
+                one = self.spark.read.parquet(made.meta["feed"]).withColumn("entry", F.lit(number))
+                found = one if found is None else found.unionByName(one)
+        return found
 
     def load(self, name: str, source: DataFrame, batch_id: str, loaded_at: dt.datetime, after: dt.datetime | None) -> Load:
         """Batch copy, bronze and silver of what the source has beyond `after`; control tables are left to record()."""
-        key = key_of(name)
-        path = f"{self.root}/batches/{name}/{batch_id}"
-        typed_rows(not_yet_loaded(source, "updated_at", after), name).write.mode("overwrite").parquet(path)
-        batch = self.spark.read.parquet(path)
-        seen = batch.agg(F.count("*"), F.max("updated_at")).first()
+        key, path = key_of(name), f"{self.root}/batches/{name}/{batch_id}"
+        landing = Table(self.spark, f"{self.root}/bronze/{name}")
+        rows = typed_rows(not_yet_loaded(source, "updated_at", after), name)
+        if after is not None:
+            # of the rows with the watermark's own stamp, those that are known: by key, or as a reject
+            edge, stamp = F.col("updated_at").eqNullSafe(F.lit(after)), F.lit(after).cast("timestamp_ntz")
+            known = self._landed_between(landing, after, after, other_than=batch_id)
+            if known is not None:
+                rows = rows.join(known.where(F.col("updated_at") == stamp).select(*key, "updated_at"), [*key, "updated_at"], "left_anti").select(rows.columns)
+            refused = self.control("rejects", REJECTS).where((F.col("table_name") == name) & (F.col("last_batch") != batch_id)).select(F.col("payload").alias("_p"))
+            rows = rows.join(refused, edge & (F.col("payload") == F.col("_p")), "left_anti")
+        rows.write.mode("overwrite").parquet(f"{path}/typed")
+        batch = self.spark.read.parquet(f"{path}/typed")
+        seen = batch.agg(F.count("*"), F.max("updated_at"), F.min("updated_at")).first()
         out = Load(name, batch_id, loaded_at, read=seen[0], newest=seen[1])
-        if not out.read and self.silver(name) is not None:
+        if not out.read and self.silver_table(name).numbers():
             return out
 
-        landed = batch.where(" AND ".join(f"{k} IS NOT NULL" for k in (*key, "updated_at"))).drop("payload", "details").dropDuplicates([*key, "updated_at"])
-        known = self.bronze(name)
+        order = [F.desc("updated_at"), F.col("payload")]
+        whole = " AND ".join(f"{k} IS NOT NULL" for k in (*key, "updated_at"))
+        landed = joins.first_of(batch.where(whole), [*key, "updated_at"], order).drop("payload", "details")
+        known = self._landed_between(landing, seen[2], seen[1], other_than=batch_id)
         if known is not None:
-            landed = landed.join(known.where(F.col("_batch_id") != batch_id).select(*key, "updated_at"), [*key, "updated_at"], "left_anti")
-        landed.withColumn("_loaded_at", F.lit(loaded_at)).write.mode("overwrite").parquet(f"{self.root}/bronze/{name}/_batch_id={batch_id}")
+            landed = landed.join(known.select(*key, "updated_at"), [*key, "updated_at"], "left_anti").select(landed.columns)
+        self._land(landing, landed.withColumns({"_batch_id": F.lit(batch_id), "_loaded_at": F.lit(loaded_at)}), batch_id, seen[2], seen[1])
 
         # versions of one row are no duplicates of each other
-        valid, invalid = joins.first_of(batch.where("details = ''"), key, [F.desc("updated_at"), F.col("payload")]), batch.where("details <> ''").select(F.lit("VALIDATION").alias("reason"), "details", "payload")
+        valid, invalid = joins.first_of(batch.where("details = ''"), key, order), batch.where("details <> ''").select(F.lit("VALIDATION").alias("reason"), "details", "payload")
         if business_key(name):
             rows, names = _keyed(valid, name)
             ranked = joins.ranked_duplicates(rows, names, key[0]).drop(*names)
@@ -207,17 +250,102 @@ class Warehouse:
         out.rejects = self.spark.read.schema("reason string, details string, payload string").json(folder)
         out.rejected = out.rejects.count()
 
-        clean = cleansed(valid, name).withColumns({"_batch_id": F.lit(batch_id), "_loaded_at": F.lit(loaded_at)})
-        current = self.silver(name)
-        if current is None:
-            merged = clean.withColumns({"is_duplicate": F.lit(False), "duplicate_of_id": F.lit(None).cast("long")})
-        else:
-            merged = merges.upsert(current, clean, key, STAMPED).withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
-        Table(self.spark, f"{self.root}/silver/{name}").replace(merged)
-        out.merged = self.silver(name).where(F.col("_batch_id") == batch_id).count()
+        cleansed(valid, name).withColumns({"_batch_id": F.lit(batch_id), "_loaded_at": F.lit(loaded_at)}).write.mode("overwrite").parquet(f"{path}/clean")
+        out.merged = self.merge_silver(name, self.spark.read.parquet(f"{path}/clean"), batch_id, loaded_at)
         out.__post_init__()
         return out
 
+    def _landed_between(self, landing: Table, low: dt.datetime | None, high: dt.datetime | None, other_than: str) -> DataFrame | None:
+        """Rows of the batches in bronze whose stamps can lie from low to high. Other batches' files are not touched."""
+        state = landing.state()
+        if state is None or low is None:
+            return None
+        spans = state.meta["spans"]
+        near = [b for b, (a, z) in spans.items() if b != other_than and a <= high.isoformat() and z >= low.isoformat()]
+        return landing.read([state.meta["places"][b] for b in near], state) if near else None
+
+    def _land(self, landing: Table, rows: DataFrame, batch_id: str, low: dt.datetime | None, high: dt.datetime | None) -> None:
+        """A part of bronze for a batch, which takes the place of an earlier try of it."""
+        while True:
+            state = landing.state()
+            meta = state.meta if state else {"places": {}, "spans": {}}
+            place = meta["places"].get(batch_id, len(meta["places"]))
+            spans = meta["spans"] | ({batch_id: (low.isoformat(), high.isoformat())} if low else {})
+            new = {"places": meta["places"] | {batch_id: place}, "spans": spans}
+            try:
+                if state is None:
+                    landing.replace(rows, F.lit(place), new)
+                else:
+                    landing.replace_parts(rows, F.lit(place), [place], state, new)
+                return
+            except Conflict:
+                continue
+
+    def merge_silver(self, name: str, clean: DataFrame, batch_id: str, loaded_at: dt.datetime) -> int:
+        """Upserts cleansed rows, one for each key, into silver; the number of rows there that this batch has made.
+
+        Only the buckets of the batch's keys are read and written. An identical row changes nothing, not even its stamps.
+        The batch meets the buckets by a semi and an anti join with the batch on the small side, so that Spark can send the
+        batch to the buckets and need not move them.
+        """
+        key, table = key_of(name), self.silver_table(name)
+        while True:
+            state = table.state()
+            if state is None:
+                marked = clean.withColumns({"is_duplicate": F.lit(False), "duplicate_of_id": F.lit(None).cast("long")})
+                none = F.lit(None).cast(marked.select(F.struct("*").alias("r")).schema["r"].dataType)
+                changes = marked.select(*key, F.lit("insert").alias("action"), none.alias("old"), F.struct(*marked.columns).alias("new"))
+            else:
+                buckets = state.meta["buckets"]
+                touched = [r[0] for r in clean.select(bucket(key, buckets)).distinct().collect()]  # as many as buckets at most
+                current = table.read(touched, state)
+                old = current.join(clean.select(key), key, "left_semi").select(*key, F.struct(*current.columns).alias("old"))
+                both = clean.join(old, key, "left")
+                compared = [c for c in clean.columns if c not in key and c not in STAMPED]
+                same = F.lit(True)
+                for c in compared:
+                    same = same & F.col(c).eqNullSafe(F.col(f"old.{c}"))
+                kept = {"is_duplicate": F.coalesce("old.is_duplicate", F.lit(False)), "duplicate_of_id": F.col("old.duplicate_of_id")}
+                new = F.struct(*[kept[c].alias(c) if c in kept else F.col(c) for c in current.columns])
+                action = F.when(F.col("old").isNull(), "insert").otherwise("update")
+                changes = both.where(F.col("old").isNull() | ~same).select(*key, action.alias("action"), "old", new.alias("new"))
+            if self._change_silver(name, table, state, changes, loaded_at) is not None:
+                break
+        now = table.state()
+        touched = [r[0] for r in clean.select(bucket(key, now.meta["buckets"])).distinct().collect()]
+        return table.read(touched, now).where(F.col("_batch_id") == batch_id).count()
+
+    def _change_silver(self, name: str, table: Table, state: Commit | None, changes: DataFrame, loaded_at: dt.datetime) -> int | None:
+        """Puts changed rows in the place of old ones, and the feed of them beside; how many, or None if another writer was
+        faster. `changes`: key, action, old and new."""
+        key = key_of(name)
+        path = f"{self.root}/changes/{name}/{uuid.uuid4().hex}"
+        changes.write.parquet(path)
+        feed = self.spark.read.parquet(path)
+        told = {r["action"]: r["count"] for r in feed.groupBy("action").count().collect()}
+        n = sum(told.values())
+        if not n and state is not None:
+            return 0
+        rows = feed.select("new.*")
+        total = told.get("insert", 0) + (state.meta["rows"] if state else 0)
+        meta = {"rows": total, "feed": path, "loaded_at": loaded_at.isoformat()}
+        buckets = state.meta["buckets"] if state else 0
+        try:
+            if state is None or total > 4 * buckets * self.bucket_rows:
+                buckets = max(1, -(-total // self.bucket_rows))
+                by = bucket(key, buckets)
+                if state is not None:
+                    rows = table.read(state=state).join(feed.select(key), key, "left_anti").unionByName(rows)
+                table.replace(rows.repartition(buckets, by), by, meta | {"buckets": buckets})
+            else:
+                by = bucket(key, buckets)
+                touched = [r[0] for r in feed.select(by).distinct().collect()]
+                stay = table.read(touched, state).join(feed.select(key), key, "left_anti")
+                table.replace_parts(stay.unionByName(rows.repartition(by)), by, touched, state, meta)
+        except Conflict:
+            return None
+        return n
+
     def record(self, loads: list[Load]) -> None:
         """Rejects, failures and audit of loads, then their watermarks: a load that broke off is read again."""
         good = [x for x in loads if x.error is None]
@@ -232,18 +360,25 @@ class Warehouse:
         self.record([done])
         return done.counts
 
-    def ingest_all(self, sources: dict[str, DataFrame], batch_id: str, loaded_at: dt.datetime, side_by_side: int = 8, tries: int = 2) -> list[Load]:
-        """Loads all sources, several at a time. A load that fails is tried again; if it fails for good the others still
-        count, its error is kept in the table of failed batches, and its watermark stays where it was."""
+    def ingest_all(self, sources: dict[str, DataFrame], batch_id: str, loaded_at: dt.datetime, side_by_side: int = 8, tries: int = 2, wait: float = 1.0) -> list[Load]:
+        """Loads all sources, several at a time. A load that fails is tried again after `wait` seconds, then twice as many,
+        and so on. If it fails for good the others still count, its error is kept in the table of failed batches, what could
+        be read of its rows in failed/, and its watermark stays where it was."""
         marks = self.marks()
 
         def one(name: str) -> Load:
             error = ""
-            for _ in range(tries):
+            for n in range(tries):
                 try:
                     return self.load(name, sources[name], batch_id, loaded_at, marks.get(name))
                 except Exception as e:  # noqa: BLE001  kept in the control table
                     error = f"{type(e).__name__}: {e}"[:2000]
+                    if n < tries - 1:
+                        time.sleep(wait * 2**n)
+            try:
+                not_yet_loaded(sources[name], "updated_at", marks.get(name)).write.mode("overwrite").json(f"{self.root}/failed/{name}/{batch_id}")
+            except Exception as e:  # noqa: BLE001  the source itself cannot be read
+                error = f"{error}\nnot kept: {type(e).__name__}"[:2000]
             return Load(name, batch_id, loaded_at, error=error)
 
         with ThreadPoolExecutor(side_by_side) as pool:
@@ -252,36 +387,141 @@ class Warehouse:
         return loads
 
     def flag_silver(self, loaded_at: dt.datetime) -> int:
-        """Flags duplicates across batches; the number of rows whose mark has changed."""
-        changed = 0
-        for name in FLAGGED:
-            now = self.silver(name)
-            if now is None:
-                continue
-            marked = flag_duplicates(now, name, loaded_at)
-            moved = marked.join(now.select(*key_of(name), F.col("is_duplicate").alias("_d"), F.col("duplicate_of_id").alias("_o")), key_of(name)).where("NOT (is_duplicate <=> _d AND duplicate_of_id <=> _o)").count()
-            if moved:  # otherwise the table stays as it is
-                Table(self.spark, f"{self.root}/silver/{name}").replace(marked)
-            changed += moved
-        return changed
+        """Marks all but the lowest id of each business key, across batches; the number of rows whose mark has changed. Rows
+        whose mark changes count as loaded anew."""
+        return sum(self._flag(name, loaded_at) for name in FLAGGED if self.silver_table(name).numbers())
+
+    def _flag(self, name: str, loaded_at: dt.datetime) -> int:
+        """An index (business key, id), in buckets by business key, takes in the rows that changed since it was last brought up
+        to date. Only the business keys that these have, or had before, are marked anew: the lowest id of a key that was
+        left may now be another's, and a row may have left a key that others still share."""
+        (key,), table, index = key_of(name), self.silver_table(name), Table(self.spark, f"{self.root}/control/same_{name}")
+        known = index.state()
+        feed = self.feed(name, beyond=known.meta["silver"] if known else 0)
+        if feed is None:
+            return 0
+        moves = feed.select(F.col(key).alias("id"), _same_thing(name, "old").alias("left"), _same_thing(name, "new").alias("same"), "entry")
+        latest = moves.groupBy("id").agg(F.max_by("same", "entry").alias("same"))
+        upto = table.numbers()[-1]
+        buckets = known.meta["buckets"] if known else table.state().meta["buckets"]
+        by = bucket(["same"], buckets)
+        if known is None:
+            touched, entries = None, latest
+            index.replace(entries.repartition(buckets, by), by, {"buckets": buckets, "silver": 0})
+            asked = latest.select("same").distinct()
+        else:
+            asked = moves.select(F.explode(F.array("left", "same")).alias("same")).where("same IS NOT NULL").distinct()
+            touched = [r[0] for r in asked.select(by).distinct().collect()]
+            entries = index.read(touched, known).join(latest.select("id"), "id", "left_anti").select("id", "same").unionByName(latest)
+            index.replace_parts(entries.repartition(by), by, touched, known)
+        entries = index.read(touched).join(asked, "same", "left_semi")
+        lowest = entries.groupBy("same").agg(F.min("id").alias("least"))
+        marks = entries.join(lowest, "same").select(F.col("id").alias(key), (F.col("id") > F.col("least")).alias("_dup"), F.when(F.col("id") > F.col("least"), F.col("least")).alias("_of"))
+        moved = 0
+        while True:
+            state = table.state()
+            if known is None:
+                current = table.read(state=state)
+            else:
+                current = table.read([r[0] for r in marks.select(bucket([key], state.meta["buckets"])).distinct().collect()], state)
+            j = current.join(marks, key).where(~(F.col("is_duplicate").eqNullSafe(F.col("_dup")) & F.col("duplicate_of_id").eqNullSafe(F.col("_of"))))
+            anew = {"is_duplicate": F.col("_dup"), "duplicate_of_id": F.col("_of"), "_loaded_at": F.lit(loaded_at)}
+            new = F.struct(*[anew[c].alias(c) if c in anew else F.col(c) for c in current.columns])
+            done = self._change_silver(name, table, state, j.select(key, F.lit("flag").alias("action"), F.struct(*current.columns).alias("old"), new.alias("new")), loaded_at)
+            if done is not None:
+                moved = done
+                break
+        index.note(index.state(), silver=upto)
+        return moved
+
+
+#: Where a row's days are: months of customers' activity, and months of titles.
+DAYS = {"streaming_session": ("start_time",), "rental": ("rental_date", "return_date"), "payment": ("payment_date",), "support_ticket": ("opened_date",), "review": ("review_date",), "wishlist": ("added_date",)}
+MONTH_COLUMNS = {"streaming_session": "start_time", "rental": "rental_date", "payment": "payment_date", "review": "review_date", "wishlist": "added_date"}
 
 
-CUSTOMER_TABLES = ("customer", "customer_address", "customer_subscription", "streaming_session", "rental", "payment", "support_ticket", "review", "wishlist")
-MONTH_COLUMNS = {"streaming_session": "start_time", "rental": "rental_date", "payment": "payment_date", "review": "review_date", "wishlist": "added_date"}
+def _month(day: Column) -> Column:
+    return (F.year(day) * 100 + F.month(day)).cast("int")
 
 
-def change_set(silver: dict[str, DataFrame], after: dt.datetime | None, upto: dt.datetime) -> dict[str, DataFrame]:
-    """Customers, months and items that rows loaded in (after, upto] touch."""
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
-    def union(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.distinct()
 
-    new = {n: since(d, "_loaded_at", after, upto) for n, d in silver.items()}
+def _images(feed: DataFrame) -> DataFrame:
+    """Rows as they were and as they are."""
+    return feed.where("old IS NOT NULL").select("old.*").unionByName(feed.where("new IS NOT NULL").select("new.*"))
+
+
+def change_feed(feeds: dict[str, DataFrame]) -> DataFrame:
+    """One row for each change: table, key, action, and customer, item, title and month before and after it."""
+    out = []
+    for name, feed in sorted(feeds.items()):
+        kind = feed.schema["new"].dataType
+
+        def of(image: str, *columns: str) -> Column:
+            found = next((c for c in columns if c in kind.names), None)
+            return F.col(f"{image}.{found}").cast("long") if found else F.lit(None).cast("long")
+
+        def month(image: str) -> Column:
+            return _month(F.col(f"{image}.{MONTH_COLUMNS[name]}")) if name in MONTH_COLUMNS else F.lit(None).cast("int")
+
+        sides = [c.alias(f"{image}_{n}") for image in ("old", "new") for n, c in (("customer", of(image, "customer_id")), ("item", of(image, "inventory_id")), ("content", of(image, "content_id")), ("month", month(image)))]
+        out.append(feed.select(F.lit(name).alias("table_name"), F.concat_ws("/", *[F.col(k).cast("string") for k in key_of(name)]).alias("row_key"), "action", *sides))
+    return _union(out)
+
+
+def change_set(feeds: dict[str, DataFrame], silver: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What the facts must build anew, from rows as they were and as they are.
+
+    `customer`: customer_id and month_key with activity that changed; `month`: months of titles; `inventory`: inventory_id
+    and the day from which its snapshots change (null: from the first). What changes in dimensions comes on top
+    (runner.dimension_changes). A row whose facts read the same as before changes nothing.
+    """
+    customers, months, items = [], [], []
+    for t, feed in feeds.items():
+        both = _images(feed)
+        for day in DAYS.get(t, ()):
+            customers.append(both.where(F.col(day).isNotNull()).select("customer_id", _month(F.col(day)).alias("month_key")))
+        if t in MONTH_COLUMNS:
+            months.append(both.select(_month(F.col(MONTH_COLUMNS[t])).alias("month_key")))
+    if (feed := feeds.get("customer_subscription")) is not None:
+        # a plan counts from its start, to its end
+        span = F.struct(F.trunc("start_date", "month").alias("a"), F.coalesce("end_date", F.lit("9999-12-31").cast("date")).alias("z"))
+        on = _images(feed).select("customer_id", span.alias("s"))
+        days = [silver[t].select("customer_id", F.explode(F.array(*[F.trunc(d, "month") for d in DAYS[t]])).alias("d")) for t in DAYS if t in silver]
+        active = _union([d.join(on.select("customer_id").distinct(), "customer_id", "left_semi") for d in days]).where("d IS NOT NULL").distinct()
+        customers.append(active.join(on, "customer_id").where("d BETWEEN s.a AND s.z").select("customer_id", _month(F.col("d")).alias("month_key")))
+    if (feed := feeds.get("rental")) is not None:
+        o, n = (lambda c: F.col(f"old.{c}")), (lambda c: F.col(f"new.{c}"))
+        alike = F.lit(True)
+        for c in ("inventory_id", "rental_date", "due_date"):
+            alike = alike & o(c).eqNullSafe(n(c))
+        # a return alone changes the days from the earlier of both returns on; without a change of it there is none
+        back = F.when(~o("return_date").eqNullSafe(n("return_date")), F.least(o("return_date"), n("return_date")))
+        begin = F.when(alike, back).otherwise(F.least(o("rental_date"), n("rental_date")))
+        moved = feed.select(F.explode(F.array(o("inventory_id"), n("inventory_id"))).alias("inventory_id"), begin.alias("from_date"))
+        items.append(moved.where("inventory_id IS NOT NULL AND from_date IS NOT NULL"))
+        carried = feed.where(~o("inventory_id").eqNullSafe(n("inventory_id"))).select("rental_id")
+        if "payment" in silver:
+            months.append(silver["payment"].join(carried, "rental_id", "left_semi").select(_month(F.col("payment_date")).alias("month_key")))
+    if (feed := feeds.get("inventory_item")) is not None:
+        other = ~F.col("old.content_id").eqNullSafe(F.col("new.content_id")) | ~F.col("old.purchase_date").eqNullSafe(F.col("new.purchase_date"))
+        items.append(feed.where(F.col("old").isNull() | other).select("inventory_id", F.lit(None).cast("date").alias("from_date")))
+        moved = feed.where(~F.col("old.content_id").eqNullSafe(F.col("new.content_id"))).select("inventory_id")
+        rented = silver["rental"].join(moved, "inventory_id", "left_semi") if "rental" in silver else None
+        if rented is not None:
+            months.append(rented.select(_month(F.col("rental_date")).alias("month_key")))
+            if "payment" in silver:
+                months.append(silver["payment"].join(rented.select("rental_id"), "rental_id", "left_semi").select(_month(F.col("payment_date")).alias("month_key")))
+    spark = next(iter(silver.values())).sparkSession
+    nothing = lambda schema: spark.createDataFrame([], schema)
+    found = _union([nothing("inventory_id long, from_date date"), *items]).groupBy("inventory_id").agg(F.min(F.coalesce("from_date", F.lit("0001-01-01").cast("date"))).alias("from_date"))
     return {
-        "customer": union([new[t].select("customer_id") for t in CUSTOMER_TABLES if t in new]),
-        "month": union([new[t].select((F.year(c) * 100 + F.month(c)).alias("month_key")) for t, c in MONTH_COLUMNS.items() if t in new]),
-        "inventory": union([new[t].select("inventory_id") for t in ("inventory_item", "rental") if t in new]),
+        "customer": _union([nothing("customer_id long, month_key int"), *customers]).where("customer_id IS NOT NULL").distinct(),
+        "month": _union([nothing("month_key int"), *months]).where("month_key IS NOT NULL").distinct(),
+        "inventory": found.select("inventory_id", F.nullif("from_date", F.lit("0001-01-01").cast("date")).alias("from_date")),
     }

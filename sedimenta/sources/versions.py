@@ -1,12 +1,16 @@
-"""Sources and versioned Parquet tables: a table is a folder of versions and a pointer to the current one."""
+"""Sources, and versioned Parquet tables: folders of files, and a log whose newest entry names the ones that count."""
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType, TimestampNTZType, TimestampType
 
 
 def read_staged_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -31,56 +35,207 @@ def since(df: DataFrame, column: str, after, upto=None) -> DataFrame:
 
 
 def not_yet_loaded(source: DataFrame, column: str, after) -> DataFrame:
-    """Source rows after a watermark, before anything is made of them. Rows without a readable stamp cannot be told to be
-    old and come along. A stamp column is compared as it is, so scans push the comparison down; a text column is cast."""
+    """Source rows from a watermark on, before anything is made of them. Rows with the watermark's own stamp come along,
+    since some may have arrived later; what is known of them is told by key. Rows without a readable stamp cannot be told to
+    be old and come along. A stamp column is compared as it is, so scans push the comparison down; a text column is cast."""
     if after is None or column not in source.columns:
         return source
     stamped = isinstance(source.schema[column].dataType, (TimestampType, TimestampNTZType))
     at: Column = F.col(column) if stamped else F.nullif(F.col(column).cast("string"), F.lit("")).try_cast("timestamp_ntz")
-    return source.where((at > F.lit(after)) | at.isNull())
+    return source.where((at >= F.lit(after)) | at.isNull())
+
+
+class Conflict(OSError):
+    """Another writer has committed to the table since this one looked at it."""
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a file with this text unless there is one of that name; False if there is. Of several writers one wins, and
+    readers never see a part of it.
+
+    On local disks a hard link is made or refused in one act; on HDFS a rename is refused where the name is taken. Object
+    stores have neither: there the put itself carries the condition, and appears as a whole.
+    """
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    scheme, draft_name = fs.getUri().getScheme(), f".{uuid.uuid4().hex}"
+    if scheme == "file":
+        local = fs.makeQualified(target).toUri().getPath()
+        draft = os.path.join(os.path.dirname(local), draft_name)
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with open(draft, "w", encoding="utf-8") as f:
+            f.write(text)
+            f.flush()
+            os.fsync(f.fileno())
+        try:
+            os.link(draft, local)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+        return True
+    if scheme in ("hdfs", "viewfs", "webhdfs"):
+        draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), draft_name)
+        out = fs.create(draft, True)
+        out.write(text.encode())
+        out.close()
+        try:
+            done = fs.rename(draft, target)
+        except Exception as e:  # noqa: BLE001  py4j wraps what the JVM throws
+            if "FileAlreadyExists" not in str(e):
+                raise
+            done = False
+        if not done:
+            fs.delete(draft, False)
+        return bool(done)
+    try:
+        out = fs.createFile(target).recursive().overwrite(False).opt("fs.option.create.conditional.overwrite", "true").build()
+        out.write(text.encode())
+        out.close()
+    except Exception as e:  # noqa: BLE001
+        if any(x in str(e) for x in ("FileAlreadyExists", "PreconditionFailed", "412")):
+            return False
+        raise
+    return True
+
+
+@dataclass
+class Commit:
+    """An entry of a table's log: which folders hold each part, how the rows look, and what its writer noted."""
+
+    number: int
+    schema: str
+    parts: dict[str, str]
+    meta: dict = field(default_factory=dict)
+
+    def text(self) -> str:
+        return json.dumps({"schema": self.schema, "parts": self.parts, "meta": self.meta})
 
 
 class Table:
-    """Readers see the version that the pointer names, and a version is complete before the pointer names it.
+    """Readers see what the newest entry of the log names, and files are complete before an entry names them.
 
-    The pointer is a file named by a running number; a new one is written under another name and renamed, and the
-    greatest number counts. So a crash at any point leaves the old version or the new one current. The last KEEP
-    versions stay for readers that have begun; older ones go.
+    Rows lie in parts (a whole table is one part without a name). A writer makes new folders for the parts it changes and
+    then puts the next number into the log; the other parts keep their folders and files. The number is put only if it
+    is not there, so of two writers that began from one entry one raises Conflict, or with update() begins again from
+    the newer entry. A crash at any point leaves the old state or the new one.
+
+    Folders that none of the last KEEP entries names go; readers that have begun are safe for that long. Of the log
+    itself the last LOG entries stay.
     """
 
-    KEEP = 3
+    KEEP, LOG = 3, 1000
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._seen: int | None = None
+
+    # --- the log ---
 
-    def _pointers(self) -> list[tuple[int, str]]:
-        """(number, version), the current one last."""
-        at = self._path(f"{self.path}/_current")
+    def numbers(self) -> list[int]:
+        at = self._path(f"{self.path}/_log")
         if not self._fs.exists(at):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(at)]
-        return sorted((int(n), v) for n, _, v in (x.partition("=") for x in names) if n.isdigit())
-
-    def current(self) -> str | None:
-        pointers = self._pointers()
-        return pointers[-1][1] if pointers else None
-
-    def read(self) -> DataFrame | None:
-        version = self.current()
-        return None if version is None else self.spark.read.parquet(f"{self.path}/{version}")
-
-    def replace(self, df: DataFrame) -> None:
-        """A new version of all rows (also with none of them: a full delete)."""
-        old, version = self._pointers(), f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
-        number = old[-1][0] + 1 if old else 1
-        draft, name = self._path(f"{self.path}/_current/.{version}"), self._path(f"{self.path}/_current/{number:012d}={version}")
-        self._fs.create(draft, True).close()
-        if not self._fs.rename(draft, name):
-            raise OSError(f"another writer has replaced {self.path}")
-        for n, v in old[: 1 - self.KEEP]:
-            self._fs.delete(self._path(f"{self.path}/{v}"), True)
-            self._fs.delete(self._path(f"{self.path}/_current/{n:012d}={v}"), False)
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0] != ".")
+
+    def entry(self, number: int) -> Commit:
+        stream = self._fs.open(self._path(f"{self.path}/_log/{number:012d}.json"))
+        try:
+            told = json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+        return Commit(number, told["schema"], told["parts"], told["meta"])
+
+    def state(self) -> Commit | None:
+        """The newest entry; what this object writes next builds on it."""
+        numbers = self.numbers()
+        self._seen = numbers[-1] if numbers else 0
+        return self.entry(numbers[-1]) if numbers else None
+
+    # --- rows ---
+
+    def read(self, parts: Iterable | None = None, state: Commit | None = None, with_part: bool = False) -> DataFrame | None:
+        """The rows of all parts, or of some; with_part: with the part in the column `_part`. None: nothing was ever written."""
+        state = state or self.state()
+        if state is None:
+            return None
+        schema = StructType.fromJson(json.loads(state.schema))
+        wanted = None if parts is None else {str(p) for p in parts}
+        folders = [f"{self.path}/{v}" for p, v in state.parts.items() if wanted is None or p in wanted]
+        columns = [F.col(f"`{c}`") for c in schema.names]
+        if not folders:
+            empty = self.spark.createDataFrame([], schema)
+            return empty.withColumn("_part", F.lit(None).cast("int")) if with_part else empty
+        if with_part:
+            schema = StructType([*schema, StructField("_part", IntegerType())])
+            columns.append(F.col("_part"))
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(*folders).select(*columns)
+
+    def _write(self, df: DataFrame, by: Column | None) -> dict[str, str]:
+        """Writes rows to a new folder; the folder of each part. A column `_part` of the rows is no column of the table."""
+        version = f"_v=x{uuid.uuid4().hex}"
+        if by is None:
+            df.write.parquet(f"{self.path}/{version}")
+            return {"": version}
+        df.withColumn("_part", F.coalesce(by.cast("int"), F.lit(-1))).write.partitionBy("_part").parquet(f"{self.path}/{version}")
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/{version}"))]
+        return {n.removeprefix("_part="): f"{version}/{n}" for n in names if n.startswith("_part=")}
+
+    def _commit(self, base: int, schema: str, parts: dict[str, str], written: dict[str, str], meta: dict) -> Commit:
+        new = Commit(base + 1, schema, parts, meta)
+        if not put_if_absent(self.spark, f"{self.path}/_log/{new.number:012d}.json", new.text()):
+            for folder in {v.partition("/")[0] for v in written.values()}:
+                self._fs.delete(self._path(f"{self.path}/{folder}"), True)
+            raise Conflict(f"another writer has committed entry {new.number} of {self.path}")
+        self._seen = new.number
+        self._clean(new.number)
+        return new
+
+    def _clean(self, number: int) -> None:
+        numbers = [n for n in self.numbers() if n <= number]
+        old = [n for n in numbers if n <= number - self.KEEP]
+        if old:  # the entry that has just left the last KEEP
+            kept = {v for n in numbers if n > number - self.KEEP for v in self.entry(n).parts.values()}
+            for folder in set(self.entry(old[-1]).parts.values()) - kept:
+                self._fs.delete(self._path(f"{self.path}/{folder}"), True)
+        for n in numbers[: -self.LOG]:
+            self._fs.delete(self._path(f"{self.path}/_log/{n:012d}.json"), False)
+
+    def replace(self, df: DataFrame, by: Column | None = None, meta: dict | None = None) -> Commit:
+        """All rows anew (also none: a full delete), from the entry that this object last read; `by` gives each row's part."""
+        base = self._seen
+        if base is None:
+            base = max(self.numbers(), default=0)
+        written = self._write(df, by)
+        return self._commit(base, df.drop("_part").schema.json(), written, written, meta or {})
+
+    def replace_parts(self, df: DataFrame, by: Column, parts: Iterable, state: Commit, meta: dict | None = None) -> Commit:
+        """The rows of some parts anew, all of which df holds; the other parts keep their files. A part that df has no row
+        of goes. The notes of the entry before stay where `meta` does not change them."""
+        written, gone = self._write(df, by), {str(p) for p in parts}
+        if stray := set(written) - gone:
+            raise ValueError(f"rows of parts that are not replaced: {sorted(stray)}")
+        kept = {p: v for p, v in state.parts.items() if p not in gone}
+        return self._commit(state.number, df.drop("_part").schema.json(), kept | written, written, state.meta | (meta or {}))
+
+    def note(self, state: Commit, **meta) -> Commit:
+        """The same rows under a new entry with other notes."""
+        return self._commit(state.number, state.schema, state.parts, {}, state.meta | meta)
+
+    def update(self, change: Callable[[DataFrame | None], DataFrame | None], tries: int = 5) -> Commit | None:
+        """Replaces the rows by what `change` makes of them; begins again from the newer rows where another writer was
+        faster. No rows are replaced if it gives None."""
+        for left in range(tries - 1, -1, -1):
+            state = self.state()
+            new = change(None if state is None else self.read(state=state))
+            if new is None:
+                return None
+            try:
+                return self.replace(new, meta=state.meta if state else None)
+            except Conflict:
+                if not left:
+                    raise
