@@ -35,10 +35,13 @@ def held_out_py(doc_id: int | None, folds: int) -> bool:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of this machine only where that is unset."""
+    """The shared folder of spark.checkpoint.dir. Where it is unset a folder of this machine stands in, if Spark runs on this
+    machine alone; on a cluster that would be another folder for each executor, so it is an error."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="sedimenta-")
         sc.setCheckpointDir(root)
     return root

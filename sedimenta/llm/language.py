@@ -16,7 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.llm.common import held_out_py, hold_out, table
@@ -69,12 +69,21 @@ def document_frequencies(documents: DataFrame, folds: int = FOLDS) -> tuple[np.n
     return out, n
 
 
+def weighed(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and TF-IDF weights of length 1, from the buckets' counts."""
+    x = np.log1p(n) * idf[at]
+    return at, x / max(float(np.sqrt(x @ x)), 1e-12)
+
+
 def features(g: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and TF-IDF weights of length 1."""
     tf = np.bincount(g, minlength=BUCKETS)
     at = np.flatnonzero(tf)
-    x = np.log1p(tf[at]) * idf[at]
-    return at, x / max(float(np.sqrt(x @ x)), 1e-12)
+    return weighed(at, tf[at], idf)
+
+
+def within(h: Column, part: float) -> Column:
+    """Whether a 64-bit hash lies in the lowest part of all hashes; as fine as the hash, so no table is too large for it."""
+    return h < F.lit(min(2**63 - 1, int(part * 2**64) - 2**63))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -120,21 +129,36 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit(documents: DataFrame, max_train: int = MAX_TRAIN, folds: int = FOLDS) -> dict | None:
     train = documents.where(~hold_out(F.col("doc_id"), folds) & F.col("lang").isNotNull())
     total = train.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))  # few enough texts come to the driver, whatever the table's size
     part = min(1.0, max_train / max(total, 1))
-    seldom = [r["lang"] for r in train.groupBy("lang").count().where(F.col("count") * part < LEAST).collect()] if part < 1 else []
-    sample = train.where(share < int(1_000_000 * part)).where(~F.col("lang").isin(seldom)).select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text", "lang").orderBy("h", "lang").limit(2 * max_train).collect()
-    if seldom:
-        order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
-        few = train.where(F.col("lang").isin(seldom)).select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text", "lang")
-        sample += few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEAST).orderBy("lang", "h").select("doc_id", "text", "lang").collect()
+    chosen = train.select(F.xxhash64("doc_id", "text").alias("h"), "text", "lang")
+    if part < 1:
+        # few enough rows come to the driver, whatever the table's size: those whose hash lies in the lowest part of all hashes
+        seldom = train.groupBy("lang").count().where(F.col("count") * part < LEAST).select("lang", F.lit(True).alias("seldom"))
+        told = chosen.join(seldom, "lang", "left")
+        common = told.where("seldom is null").where(within(F.xxhash64("h"), part)).drop("seldom").orderBy("h", "lang").limit(2 * max_train)
+        order = Window.partitionBy("lang").orderBy("h")
+        few = told.where("seldom").withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEAST).drop("seldom", "n")
+        chosen = common.unionByName(few)
+
+    def counted():
+        def f(row):
+            g = grams(row["text"])
+            if g is None:
+                return []
+            at, n = np.unique(g, return_counts=True)
+            return [{"h": row["h"], "lang": row["lang"], "at": at.tolist(), "n": n.tolist()}]
+
+        return f
+
+    # what comes to the driver is bounded by the buckets, not by the length of a text
+    sample = map_rows(chosen, counted, "h long, lang string, at array<int>, n array<int>", rows=256).orderBy("lang", "h").collect()
     df, n = document_frequencies(documents, folds)
     idf = np.log((n + 1.0) / (df + 1.0)) + 1.0
-    got = [(r["lang"], r["doc_id"], g) for r in sample if (g := grams(r["text"])) is not None]
-    langs = sorted({lang for lang, _, _ in got})
+    langs = sorted({r["lang"] for r in sample})
     if not langs:
         return None
-    rows = [(*features(g, idf), langs.index(lang)) for lang, _, g in got if lang in langs]
+    number = {lang: i for i, lang in enumerate(langs)}
+    rows = [(*weighed(np.array(r["at"]), np.array(r["n"]), idf), number[r["lang"]]) for r in sample]
     np.random.default_rng(5).shuffle(rows)
     cut = len(rows) - len(rows) // 5
     w = ftrl(rows[:cut], len(langs))

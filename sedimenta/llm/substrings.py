@@ -166,12 +166,12 @@ def factors(documents: DataFrame, factor: int = FACTOR, gram: int = GRAM) -> Dat
     # passages met again
     whole = met.where("doc_id > d")
     # the first document of each distinct passage of an anchor that has several stands for the passage
-    wanted = met.where("doc_id = d").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("s", "n")).alias("p"))
+    wanted = met.where("doc_id = d").groupBy("doc_id", "tk").agg(F.collect_set(F.struct("s", "n")).alias("p"))  # equal rows find the same
     seeds = saved(_seeds(wanted, documents, factor), "seeds")
     known = seeds.groupBy("w1", "w2").agg(F.min(F.struct(F.col("doc_id").alias("d"), F.col("s").alias("r"))).alias("ref"), F.max("doc_id").alias("last")).where("ref.d < last").select("w1", "w2", "ref")
     single = seeds.join(known, ["w1", "w2"]).where("doc_id > ref.d").select("doc_id", "tk", "s", F.lit(1).alias("n"), F.col("ref.d").alias("d"), F.col("ref.r").alias("r"))
     found = whole.unionByName(single)
-    return found.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("s", "n", "d", "r")).alias("f"))
+    return found.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("s", "n", "d", "r")).alias("f"))
 
 
 def parse(hits: list[dict], factor: int = FACTOR) -> list[tuple[int, int, int, int]]:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -121,8 +122,9 @@ def measure(auto, text: str | None) -> tuple[float, int, int]:
                     exempt.append((start, end, term))
                 else:
                     hits[start].append((w, term))
-    for a, b, term in exempt:
-        for s in [s for s in hits if a <= s <= b]:
+    starts = sorted(hits) if exempt else []
+    for a, b, term in exempt:  # each looks at what starts inside it only
+        for s in starts[bisect_left(starts, a) : bisect_right(starts, b)]:
             hits[s] = [h for h in hits[s] if h[1] != term]
     weights = [max(h)[0] for h in hits.values() if h]
     return sum(weights), len(weights), n_words
@@ -170,7 +172,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40
 def fit(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     """Learns entries, exception phrases and the curve from at most max_train labelled training rows."""
     chosen = bounded_labels(labels, "toxic", max_train, FOLDS)
-    sample = saved(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label"), "toxic-sample")
+    # an id may stand on any number of rows; one of them, by the hash of its text, is looked at
+    labelled = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = saved(labelled.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label")).drop("doc_id"), "toxic-sample")
     lexicon = learn_lexicon(sample)
     exceptions = learn_exceptions(sample, lexicon) if lexicon else {}
 
