@@ -22,10 +22,13 @@ _built: dict[tuple, Warehouse] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir. Where it is unset, as in tests, one of this machine becomes it."""
+    """The shared folder of spark.checkpoint.dir. Where it is unset and Spark runs on this machine alone, as in tests, one of
+    this machine becomes it; on a cluster that is an error."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="sedimenta-")
