@@ -237,6 +237,30 @@ def staged_csv(spark, d):
     return rows.select(F.col("n_nationkey").try_cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").try_cast("int").alias("n_regionkey"))
 
 
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+SINCE = "1997-01-01 00:00:00"
+
+
+def staged_database(spark, d) -> str:
+    """A table of a database with the orders, in the memory of this JVM: Spark has to run on this machine alone."""
+    import uuid
+
+    url = f"jdbc:derby:memory:staged{uuid.uuid4().hex};create=true"
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey", F.substring("o_orderstatus", 1, 1).alias("o_orderstatus"), F.col("o_orderdate").cast("timestamp").alias("updated_at"))
+    o.coalesce(1).write.jdbc(url, "orders", mode="append", properties=DERBY)
+    return url
+
+
+def jdbc_extraction(spark, d):
+    """What a database has from a watermark on, read in ranges of keys."""
+    from sedimenta.sources.versions import read_jdbc
+
+    import datetime as dt
+
+    rows = read_jdbc(spark, staged_database(spark, d), "orders", "o_orderkey", "updated_at", dt.datetime.fromisoformat(SINCE), parts=4, properties=DERBY)
+    return rows.select("o_orderkey", "o_custkey", "o_orderstatus", F.to_date("updated_at").alias("day"))
+
+
 def delete_range(spark, d):
     """Rows of some customers go where their day lies in a range."""
     o = _t(spark, d, "orders").select("o_orderkey", "o_custkey", _day("o_orderdate").alias("day"))
@@ -317,6 +341,7 @@ QUERIES = {
     "change_set_rebuild": (change_set_rebuild, "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DECIMAL(28,4)) AS total FROM events GROUP BY 1, 2"),
     "stream_windowed_counts": (stream_windowed_counts, "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DECIMAL(28,4)) AS total FROM events GROUP BY 1, 2"),
     "staged_csv": (staged_csv, "SELECT n_nationkey, n_name, n_regionkey FROM nation"),
+    "jdbc_extraction": (jdbc_extraction, f"SELECT o_orderkey, o_custkey, substr(o_orderstatus, 1, 1) AS o_orderstatus, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate >= TIMESTAMP '{SINCE}'"),
     "delete_range": (delete_range, "SELECT o_orderkey FROM orders WHERE NOT (o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1997-12-31')"),
     "update_from": (update_from, "SELECT c_custkey, c_mktsegment, CASE WHEN c_mktsegment <> 'BUILDING' THEN coalesce(m, -1) ELSE -1 END AS last_order FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS m FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) o ON o_custkey = c_custkey"),
     "truncate_reload": (truncate_reload, "SELECT s_suppkey, s_nationkey, CAST(0 AS BIGINT) AS rows_when_empty FROM supplier WHERE s_nationkey % 2 = 0"),

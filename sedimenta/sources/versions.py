@@ -45,6 +45,34 @@ def not_yet_loaded(source: DataFrame, column: str, after) -> DataFrame:
     return source.where((at >= F.lit(after)) | at.isNull())
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str, stamp: str | None = None, after=None, parts: int = 8, properties: dict[str, str] | None = None) -> DataFrame:
+    """A table of a database, read by several tasks at once, from a watermark on.
+
+    The database is asked for the least and greatest key of the rows that are due, and each task reads a range of keys;
+    rows without a key come with the first. The watermark is a plain comparison on the column, which Spark hands down with
+    the ranges, so rows of earlier loads never leave the database. Rows without a stamp cannot be told to be old and come
+    along. Keys should be whole numbers; ranges are as even as the keys are.
+    """
+    properties = properties or {}
+    whole = spark.read.jdbc(url, table, properties=properties)
+
+    def due(df: DataFrame) -> DataFrame:
+        return df if stamp is None or after is None else df.where((F.col(stamp) >= F.lit(after)) | F.col(stamp).isNull())
+
+    low, high = due(whole).agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return due(whole)
+    width = max(1, -(-(int(high) - int(low) + 1) // parts))
+    name = f'"{key}"'
+    cuts = [int(low) + i * width for i in range(1, parts) if int(low) + i * width <= int(high)]
+    sides = [None, *cuts, None]
+    ranges = []
+    for a, b in zip(sides, sides[1:]):
+        own = " AND ".join([f"{name} >= {a}"] * (a is not None) + [f"{name} < {b}"] * (b is not None)) or "1 = 1"
+        ranges.append(own if a is not None else f"({own}) OR {name} IS NULL")
+    return due(spark.read.jdbc(url, table, predicates=ranges, properties=properties))
+
+
 class Conflict(OSError):
     """Another writer has committed to the table since this one looked at it."""
 
