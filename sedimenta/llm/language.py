@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import held_out_py, hold_out, table
+from sedimenta.llm.common import held_out_py, hold_out, map_rows, table
 
 FOLDS, ORDERS, BUCKETS = 5, 3, 1 << 13
 #: Documents the weights are learned from, about, and how often they are gone through.
