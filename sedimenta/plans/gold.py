@@ -203,7 +203,7 @@ def customer_daily_activity(s: dict[str, DataFrame], customers: DataFrame, plans
         (on("review", "review_date"), {"review_count": one}),
         (on("wishlist", "added_date"), {"wishlist_add_count": one}),
     ])
-    known = joins.versions_asof(daily, customers.select("customer_id", "customer_key", "effective_from", "effective_to"), "customer_id", "activity_date")
+    known = joins.asof_merge(daily, customers.select("customer_id", "customer_key", "effective_from", "effective_to"), "customer_id", "activity_date")
     plan = plans_asof(daily.select("customer_id", "activity_date"), s["customer_subscription"]).join(plans.select("plan_id", "subscription_plan_key"), "plan_id", "left")
     keyed = known.join(plan, ["customer_id", "activity_date"], "left").join(F.broadcast(dates.select(F.col("full_date").alias("activity_date"), "date_key")), "activity_date", "left")
     return keyed.select(
@@ -288,7 +288,7 @@ def inventory_daily_snapshot(s: dict[str, DataFrame], items: DataFrame, contents
     by_day = Window.partitionBy("inventory_id").orderBy("day")
     runs = changes.select("inventory_id", "day", F.lead("day").over(by_day).alias("next"), *[F.sum(d).over(by_day).alias(d) for d in deltas])
     runs = runs.join(base, "inventory_id").withColumns({"start": F.greatest("day", "begin"), "end": F.least(F.coalesce(F.date_sub("next", 1), hi), hi)}).where(F.col("start") <= F.col("end"))
-    v = joins.versions_asof(runs, items.select("inventory_id", "inventory_key", "item_status", "warehouse_id", "effective_from", "effective_to"), "inventory_id", "start")
+    v = joins.asof_merge(runs, items.select("inventory_id", "inventory_key", "item_status", "warehouse_id", "effective_from", "effective_to"), "inventory_id", "start")
     later = F.col("effective_from") > F.lit(merges.FIRST_DATE).cast("date")
     retired = F.coalesce((F.col("item_status") == "Retired") & (later | (F.col("start") >= F.col("gone_from"))) & (F.col("loan") <= 0), F.lit(False))
     j = v.where(~retired).join(contents.select("content_id", "content_key"), "content_id", "left").join(warehouses.select("warehouse_id", "warehouse_key"), "warehouse_id", "left")

@@ -374,7 +374,7 @@ def change_set_of_first_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def idempotent_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that the replay of the source changed, by step: none."""
+    """Rows that the replay of the source changed, by step: none; and how many rows silver had from the first load on."""
     w = built(spark, sf_dir, changed=True)
     runs = w.control("runs", "run_id long, pipeline string").where("pipeline = 'gold_build'").select("run_id").orderBy("run_id").collect()
     return w.control("steps", "run_id long, step string, rows_inserted long").where(F.col("run_id") == runs[1]["run_id"]).select("step", (F.col("rows_inserted") + F.col("rows_updated") + F.col("rows_deleted")).alias("rows_changed"))
@@ -447,7 +447,9 @@ def _feed_sql() -> str:
     return f"WITH {', '.join(ctes)} {' UNION ALL '.join(out)}"
 
 
-_SOURCED = ", ".join(f"('{n}')" for n in NAMES)
+_CALENDAR = """SELECT least(DATE '2018-01-01', (SELECT min(registration_date) FROM s_customer), (SELECT min(purchase_date) FROM s_inventory_item)) AS lo,
+    greatest(DATE '2030-12-31', (SELECT hi FROM win) + 365) AS hi"""
+_MARKS = " UNION ALL ".join(f"SELECT '{n}' AS name, strftime(max(updated_at), '%Y-%m-%d %H:%M:%S') AS value FROM t_{n}" for n in NAMES)
 _COUNT = " UNION ALL ".join(f"SELECT '{n}' AS t, (SELECT count(*) FROM t_{n}) AS r, (SELECT count(*) FROM s_{n}) AS s" for n in NAMES)
 _HISTOGRAM = " UNION ALL ".join(f"SELECT '{n}' AS table_name, unnest(string_split(dq_flags, ',')) AS flag FROM s_{n}" for n, (_, rules) in D_CLEAN.items() if rules)
 _STREAM_REJECTS = """SELECT * FROM (SELECT try_cast(stream_id AS BIGINT) AS stream_id, concat_ws('; ', CASE WHEN start_time IS NULL THEN 'start_time is missing' END, CASE WHEN watch_duration = 'x' THEN 'watch_duration: not a int' END) AS details, 'VALIDATION' AS reason FROM ({src}) r) WHERE details <> ''
@@ -460,10 +462,10 @@ QUERIES |= {
     "dim_content": (_gold("content", "content_key > 0"), star_sql("SELECT * FROM d_content")),
     "dim_customer": (_gold("customer", "customer_key > 0"), star_sql("SELECT * FROM d_customer")),
     "dim_inventory_item": (_gold("inventory_item", "inventory_key > 0"), star_sql("SELECT * EXCLUDE (after_last) FROM d_item")),
-    "dim_date": (_gold("date"), """SELECT CAST(strftime(d, '%Y%m%d') AS INT) AS date_key, d AS full_date, CAST(day(d) AS INT) AS day_of_month, CAST(isodow(d) AS INT) AS day_of_week, dayname(d) AS day_name, isodow(d) >= 6 AS is_weekend, CAST(week(d) AS INT) AS iso_week, CAST(strftime(d, '%Y%m') AS INT) AS month_key,
-        CAST(month(d) AS INT) AS month_number, monthname(d) AS month_name, CAST(quarter(d) AS INT) AS quarter_number, CAST(year(d) AS INT) AS year_number, strftime(d, '%Y-%m') AS year_month_label FROM (SELECT CAST(unnest(generate_series(DATE '2018-01-01', DATE '2030-12-31', INTERVAL 1 DAY)) AS DATE) AS d)"""),
-    "dim_month": (_gold("month"), """SELECT CAST(strftime(d, '%Y%m') AS INT) AS month_key, d AS month_start_date, last_day(d) AS month_end_date, CAST(day(last_day(d)) AS INT) AS days_in_month, CAST(month(d) AS INT) AS month_number, monthname(d) AS month_name, CAST(quarter(d) AS INT) AS quarter_number, CAST(year(d) AS INT) AS year_number,
-        strftime(d, '%Y-%m') AS year_month_label FROM (SELECT CAST(unnest(generate_series(DATE '2018-01-01', DATE '2030-12-01', INTERVAL 1 MONTH)) AS DATE) AS d)"""),
+    "dim_date": (_gold("date"), star_sql("""SELECT CAST(strftime(d, '%Y%m%d') AS INT) AS date_key, d AS full_date, CAST(day(d) AS INT) AS day_of_month, CAST(isodow(d) AS INT) AS day_of_week, dayname(d) AS day_name, isodow(d) >= 6 AS is_weekend, CAST(week(d) AS INT) AS iso_week, CAST(strftime(d, '%Y%m') AS INT) AS month_key,
+        CAST(month(d) AS INT) AS month_number, monthname(d) AS month_name, CAST(quarter(d) AS INT) AS quarter_number, CAST(year(d) AS INT) AS year_number, strftime(d, '%Y-%m') AS year_month_label FROM (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d FROM ({_CALENDAR}) c)""".replace("{_CALENDAR}", _CALENDAR))),
+    "dim_month": (_gold("month"), star_sql("""SELECT CAST(strftime(d, '%Y%m') AS INT) AS month_key, d AS month_start_date, last_day(d) AS month_end_date, CAST(day(last_day(d)) AS INT) AS days_in_month, CAST(month(d) AS INT) AS month_number, monthname(d) AS month_name, CAST(quarter(d) AS INT) AS quarter_number, CAST(year(d) AS INT) AS year_number,
+        strftime(d, '%Y-%m') AS year_month_label FROM (SELECT CAST(unnest(generate_series(date_trunc('month', lo), hi, INTERVAL 1 MONTH)) AS DATE) AS d FROM ({_CALENDAR}) c)""".replace("{_CALENDAR}", _CALENDAR))),
     "dim_members": (_members, "SELECT * FROM (VALUES ('subscription_plan', CAST(0 AS BIGINT)), ('subscription_plan', -1), ('warehouse', -1), ('content', -1), ('customer', -1), ('inventory_item', -1)) AS v(dimension, member_key)"),
     "fact_customer_daily_activity": (_gold("customer_daily_activity"), star_sql("SELECT * FROM f_a")),
     "fact_content_monthly_performance": (_gold("content_monthly_performance"), star_sql("SELECT * FROM f_b")),
@@ -477,7 +479,7 @@ QUERIES |= {
     "rejects_by_reason": (rejects_by_reason, star_sql(f"SELECT * FROM (SELECT t AS table_name, 'VALIDATION' AS reason, bad AS n FROM ({' UNION ALL '.join(f'''SELECT '{n}' AS t, count(*) FILTER (NOT ok) AS bad FROM t_{n}''' for n in NAMES)}) UNION ALL " + " UNION ALL ".join(f"SELECT '{n}', 'DUPLICATE', count(*) FILTER (i > 1) FROM (SELECT row_number() OVER (PARTITION BY {k} ORDER BY {key_of(n)[0]}) AS i FROM t_{n} WHERE ok) x" for n, k in D_SAME.items()) + ") WHERE n > 0")),
     "reject_log": (reject_log, star_sql(f"SELECT stream_id, reason, details, 'b1' AS first_batch, 'b1' AS last_batch, CAST(1 AS BIGINT) AS occurrence_count FROM ({_STREAM_REJECTS.format(src=fixture.source_sql('streaming_session'))})")),
     "load_audit": (load_audit, star_sql(f"SELECT b AS batch_id, layer, t AS table_name, CASE WHEN b = 'b2' THEN 0 WHEN layer = 'bronze' THEN r ELSE s END AS n_rows FROM ({_COUNT}) x CROSS JOIN (VALUES ('b1'), ('b2')) AS bb(b) CROSS JOIN (VALUES ('bronze'), ('silver')) AS ll(layer)")),
-    "extraction_watermarks": (extraction_watermarks, f"SELECT n AS name, '2024-05-01 08:00:00' AS value FROM (VALUES {_SOURCED}) AS v(n) UNION ALL SELECT 'gold_build', '2024-05-01 12:00:00'"),
+    "extraction_watermarks": (extraction_watermarks, star_sql(f"{_MARKS} UNION ALL SELECT 'gold_build', '2024-05-01 12:00:00'")),
     "run_log": (run_log, "SELECT CAST(i AS BIGINT) AS run_id, CASE WHEN i % 2 = 1 THEN 'ingest' ELSE 'gold_build' END AS pipeline, 'SUCCEEDED' AS status, CAST(CASE WHEN i % 2 = 1 THEN 1 ELSE 9 END AS BIGINT) AS steps FROM (VALUES (1), (2), (3), (4), (5), (6)) AS v(i)"),
     "bronze_versions": (bronze_versions, star_sql("SELECT rental_id, CAST(CASE WHEN rental_id = 6 THEN 2 ELSE 1 END AS BIGINT) AS versions FROM t_rental UNION ALL SELECT 900001, 1")),
     "silver_rental": (silver_rental, star_sql("SELECT rental_id, customer_id, status, late_fee, dq_flags, 'b1' AS _batch_id, false AS is_duplicate FROM s_rental")),

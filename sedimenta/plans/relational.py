@@ -49,7 +49,7 @@ MONTH = "CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT)"
 
 QUERIES = {
     "scan_project_rename": lambda d: "SELECT c_custkey AS customer_id, c_name AS customer_name, c_mktsegment AS segment, 'ops' AS record_source FROM customer",
-    "inline_values": lambda d: "SELECT CAST(k AS BIGINT) AS member_key, label FROM (VALUES (-1, 'Unknown'), (0, 'No active subscription')) AS t(k, label)",
+    "inline_values": lambda d: "SELECT r_regionkey, r_name, coalesce(label, 'Unknown') AS label FROM region LEFT JOIN (VALUES (0, 'South'), (2, 'East'), (3, 'North')) AS t(k, label) ON k = r_regionkey",
     "empty_source": lambda d: "SELECT c_custkey AS customer_id FROM customer WHERE 1 = 0",
     "text_staged_cast": lambda d: "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(CAST(CAST(l_quantity AS VARCHAR(30)) AS DECIMAL(20,4)) AS BIGINT) AS quantity FROM lineitem",
     "case_banding": lambda d: "SELECT p_partkey, CASE WHEN nullif(p_size, 1) IS NULL THEN 'Not applicable' WHEN p_size < 10 THEN 'Small' WHEN p_size < 30 THEN 'Medium' ELSE 'Large' END AS size_band, CASE WHEN p_size > 45 THEN 'Extra' END AS extra FROM part",

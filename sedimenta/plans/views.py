@@ -82,16 +82,21 @@ def warehouse_utilisation_monthly_view(star: Star) -> DataFrame:
     return g.withColumn("utilisation_pct", _ratio(F.col("item_days_rented") * 100, F.col("item_days_in_service"), 2))
 
 
+def customer_bitmaps(groups: dict[str, Column]) -> list[Column]:
+    """For rows grouped by F.bitmap_bucket_number("customer_key"): who is in each group, a bit for each customer. Bitmaps of
+    days can be put together to those of months (F.bitmap_or_agg) and counted exactly, where distinct counts can not."""
+    return [F.bitmap_construct_agg(F.when(cond, F.bitmap_bit_position("customer_key"))).alias(name) for name, cond in groups.items()]
+
+
 def monthly_business_kpis_view(star: Star) -> DataFrame:
     """A row for each month with activity. Customers are counted by surrogate key: two versions in a month count twice."""
     d = star["date"].select("date_key", F.col("year_month_label").alias("month"))
     streams, rents = F.col("streaming_session_count") > 0, F.col("rental_count") > 0
-
-    def customers(cond: Column) -> Column:
-        return F.countDistinct(F.when(cond, F.col("customer_key")))
-
+    groups = {"active_customers": streams | rents, "streaming_customers": streams, "renting_customers": rents}
     sums = {"streaming_sessions": "streaming_session_count", "_minutes": "streaming_minutes", "rentals": "rental_count", "returns": "returned_item_count", "late_returns": "late_return_count", "subscription_revenue": "subscription_amount_spent", "rental_revenue": "rental_amount_spent", "total_revenue": "total_amount_spent", "refunds": "refunded_amount", "support_tickets": "support_ticket_count"}
-    a = star["customer_daily_activity"].join(d, "date_key").groupBy("month").agg(customers(streams | rents).alias("active_customers"), customers(streams).alias("streaming_customers"), customers(rents).alias("renting_customers"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    fact = star["customer_daily_activity"].join(d, "date_key").withColumn("_bucket", F.bitmap_bucket_number("customer_key"))
+    part = fact.groupBy("month", "_bucket").agg(*customer_bitmaps(groups), *[F.sum(c).alias(n) for n, c in sums.items()])
+    a = part.groupBy("month").agg(*[F.sum(F.bitmap_count(n)).alias(n) for n in groups], *[F.sum(n).cast(part.schema[n].dataType).alias(n) for n in sums])
     i = star["inventory_daily_snapshot"].join(d, "date_key").groupBy("month").agg(_ratio(F.sum("days_rented") * 100, F.sum("days_in_service"), 2).alias("inventory_utilisation_pct"))
     cents = (F.col("total_revenue") * 100).cast("decimal(20,0)")
     out = a.withColumn("streaming_hours", _ratio(F.col("_minutes"), F.lit(60), 1)).drop("_minutes").join(i, "month", "left")

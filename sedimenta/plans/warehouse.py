@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions.text import flags, initcap_any
-from sedimenta.operators import joins, merges, quality
+from sedimenta.operators import fingerprints, joins, merges, quality
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,7 +101,7 @@ def _versions(o: DataFrame) -> DataFrame:
 
 def scd2_asof_join(spark, d):
     e = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.date_add(_day("o_orderdate"), 20).alias("on_day"))
-    return joins.versions_asof(e, _versions(_t(spark, d, "orders")), "k", "on_day").select("o_orderkey", "version_order", F.coalesce("priority", F.lit("Unknown")).alias("priority"))
+    return joins.asof_merge(e, _versions(_t(spark, d, "orders")), "k", "on_day").select("o_orderkey", "version_order", F.coalesce("priority", F.lit("Unknown")).alias("priority"))
 
 
 def _snapshot(spark, d) -> DataFrame:
@@ -261,6 +261,30 @@ def jdbc_extraction(spark, d):
     return rows.select("o_orderkey", "o_custkey", "o_orderstatus", F.to_date("updated_at").alias("day"))
 
 
+def overlapping_orders(spark, d):
+    """Pairs of a customer's orders that lie within a week of each other, by bins of a week."""
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey", _day("o_orderdate").alias("a")).withColumn("z", F.date_add("a", 7))
+    pairs = joins.overlapping_pairs(o, "o_custkey", "o_orderkey", "a", "z", 7)
+    return pairs.select(F.col("left_id").alias("left_key"), F.col("right_id").alias("right_key"))
+
+
+def fingerprint_tree(spark, d):
+    """The line items' tree of digests: 256 orders a leaf, 64 children a node. A null stands for some of the flags."""
+    flag = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
+    columns = [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), flag, _day("l_shipdate")]
+    return fingerprints.tree(_t(spark, d, "lineitem"), "l_orderkey", ["l_orderkey", "l_linenumber", "l_partkey"], columns)
+
+
+def _tree_sql() -> str:
+    values = ("l_orderkey", "l_linenumber", "l_partkey", "nullif(l_returnflag, 'N')", "CAST(l_shipdate AS DATE)")
+    row = "md5(" + " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE length(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR) END" for v in values) + ")"
+    leaves = f"l0 AS (SELECT l_orderkey // 256 AS node, md5(string_agg({row}, '' ORDER BY l_orderkey, l_linenumber, l_partkey, {row})) AS digest FROM lineitem GROUP BY 1)"
+    above = ", ".join(f"l{i} AS (SELECT node // 64 AS node, md5(string_agg(digest, '' ORDER BY node)) AS digest FROM l{i - 1} GROUP BY 1)" for i in range(1, 7))
+    # a level is there as long as the one below it has more than one node
+    rows = " UNION ALL ".join(["SELECT 0 AS level, node, digest FROM l0", *(f"SELECT {i}, node, digest FROM l{i} WHERE (SELECT min(node) <> max(node) FROM l{i - 1})" for i in range(1, 7))])
+    return f"WITH {leaves}, {above} SELECT CAST(level AS INT) AS level, CAST(node AS BIGINT) AS node, digest FROM ({rows}) x"
+
+
 def delete_range(spark, d):
     """Rows of some customers go where their day lies in a range."""
     o = _t(spark, d, "orders").select("o_orderkey", "o_custkey", _day("o_orderdate").alias("day"))
@@ -342,6 +366,8 @@ QUERIES = {
     "stream_windowed_counts": (stream_windowed_counts, "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DECIMAL(28,4)) AS total FROM events GROUP BY 1, 2"),
     "staged_csv": (staged_csv, "SELECT n_nationkey, n_name, n_regionkey FROM nation"),
     "jdbc_extraction": (jdbc_extraction, f"SELECT o_orderkey, o_custkey, substr(o_orderstatus, 1, 1) AS o_orderstatus, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate >= TIMESTAMP '{SINCE}'"),
+    "overlapping_orders": (overlapping_orders, "WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, CAST(o_orderdate AS DATE) AS b, CAST(o_orderdate AS DATE) + 7 AS e FROM orders) SELECT a.k AS left_key, b.k AS right_key FROM o a JOIN o b ON a.c = b.c AND a.k < b.k AND a.b < b.e AND b.b < a.e"),
+    "fingerprint_tree": (fingerprint_tree, _tree_sql()),
     "delete_range": (delete_range, "SELECT o_orderkey FROM orders WHERE NOT (o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1997-12-31')"),
     "update_from": (update_from, "SELECT c_custkey, c_mktsegment, CASE WHEN c_mktsegment <> 'BUILDING' THEN coalesce(m, -1) ELSE -1 END AS last_order FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS m FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) o ON o_custkey = c_custkey"),
     "truncate_reload": (truncate_reload, "SELECT s_suppkey, s_nationkey, CAST(0 AS BIGINT) AS rows_when_empty FROM supplier WHERE s_nationkey % 2 = 0"),
