@@ -444,6 +444,15 @@ def qualified(spark, path: str) -> str:
     return re.sub(r"^file:/+", "file:///", p)
 
 
+#: What Spark calls a scheme and what Arrow calls it.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def arrow_uri(path: str) -> str:
+    scheme, colon, rest = path.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}{colon}{rest}"
+
+
 def write_token_files(documents: DataFrame, path: str, tokenizer: str | None = None) -> dict[int, int]:
     """Writes path/part-NNNNNN-NNNNN.cmrc in ascending doc_id order; gives the ids of each part."""
     spark, tok = documents.sparkSession, tokenizer or default_tokenizer()
@@ -456,7 +465,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str | None = N
         from pyarrow import fs
         from pyspark import TaskContext
 
-        store, base = fs.FileSystem.from_uri(path)
+        store, base = fs.FileSystem.from_uri(arrow_uri(path))
         task, t = TaskContext.get(), worker_encoder(tok)
         part, seq, before = task.partitionId(), 0, 0
         docs, lengths, ids, held = [], [], [], 0

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("sedimenta.llm.queries")
-from sedimenta.llm import common, language, substrings, suffixtree, toxicity  # noqa: E402
+from sedimenta.llm import common, language, substrings, suffixtree, tokenfiles, toxicity  # noqa: E402
 
 
 @pytest.mark.parametrize("total", [10, 10**6, 4 * 10**9, 10**13, 10**17])
@@ -97,3 +97,11 @@ def test_scratch_is_no_machine_local_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError):
         common.scratch_root(Session())
+
+
+def test_paths_of_spark_are_known_to_arrow():
+    from pyarrow import fs
+
+    assert tokenfiles.arrow_uri("s3a://bucket/warehouse/t") == "s3://bucket/warehouse/t" and tokenfiles.arrow_uri("file:///a/b") == "file:///a/b"
+    store, base = fs.FileSystem.from_uri(tokenfiles.arrow_uri("s3a://bucket/t?region=us-east-1&endpoint_override=localhost:9"))  # refused as s3a before
+    assert store.type_name == "s3" and base == "bucket/t"
