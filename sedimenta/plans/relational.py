@@ -47,6 +47,13 @@ def pct(d, a: str, b: str) -> str:
 ODATE = "CAST(o_orderdate AS DATE)"
 MONTH = "CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT)"
 
+
+
+def told(value: str) -> str:
+    """A value as text with its length ahead; null is apart from all text and keeps its place."""
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE concat(CAST(length(CAST({value} AS STRING)) AS STRING), ':', CAST({value} AS STRING)) END"
+
+
 QUERIES = {
     "scan_project_rename": lambda d: "SELECT c_custkey AS customer_id, c_name AS customer_name, c_mktsegment AS segment, 'ops' AS record_source FROM customer",
     "inline_values": lambda d: "SELECT r_regionkey, r_name, coalesce(label, 'Unknown') AS label FROM region LEFT JOIN (VALUES (0, 'South'), (2, 'East'), (3, 'North')) AS t(k, label) ON k = r_regionkey",
@@ -88,7 +95,7 @@ QUERIES = {
     "avg_in_cents": lambda d: f"SELECT c_mktsegment, CAST({d.idiv('2 * sum(' + cents('c_acctbal + 10000') + ') + count(*)', '2 * count(*)')} AS BIGINT) AS avg_cents FROM customer GROUP BY 1",
     "two_level_reaggregation": lambda d: f"WITH daily AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, CAST(count(*) AS BIGINT) AS active_days, CAST(max(n) AS BIGINT) AS busiest, CAST(sum(n) AS BIGINT) AS n_events FROM daily GROUP BY user_id",
     "pool_allocation": lambda d: f"WITH part_m AS (SELECT {MONTH} AS month_key, l_partkey, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), pool AS (SELECT {MONTH} AS month_key, sum({cents('o_totalprice')}) AS cents FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), tot AS (SELECT month_key, sum(q) AS tq FROM part_m GROUP BY 1) SELECT p.month_key, p.l_partkey, CAST({d.idiv('2 * CAST(cents AS DECIMAL(30,0)) * q + tq', '2 * tq') if d is Spark else 'CAST((2 * CAST(cents AS HUGEINT) * q + tq) // (2 * tq) AS BIGINT)'} AS BIGINT) AS allocated_cents FROM part_m p JOIN tot USING (month_key) LEFT JOIN pool USING (month_key)",
-    "table_fingerprint": lambda d: f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(CAST(sum({'CAST(conv({0}, 16, 10) AS DECIMAL(20,0))' if d is Spark else "CAST('0x' || {0} AS BIGINT)"}) AS DECIMAL(38,0)) AS STRING) AS fingerprint FROM lineitem".format(f"substr(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, {cents('l_extendedprice')}, {cents('l_quantity')}, l_returnflag, l_linestatus, CAST(l_shipdate AS DATE))), 1, 15)"),
+    "table_fingerprint": lambda d: f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(CAST(sum({'CAST(conv({0}, 16, 10) AS DECIMAL(20,0))' if d is Spark else "CAST('0x' || {0} AS BIGINT)"}) AS DECIMAL(38,0)) AS STRING) AS fingerprint FROM lineitem".format(f"substr(md5(concat_ws('|', {', '.join(told(c) for c in ('l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', cents('l_extendedprice'), cents('l_quantity'), 'l_returnflag', 'l_linestatus', 'CAST(l_shipdate AS DATE)'))})), 1, 15)"),
     "rank_in_month": lambda d: f"SELECT * FROM (SELECT month_key, n_name, cents, CAST(rank() OVER (PARTITION BY month_key ORDER BY cents DESC) AS BIGINT) AS rnk FROM (SELECT {MONTH} AS month_key, n_name, CAST(sum({cents('o_totalprice')}) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) t) u WHERE rnk <= 3",
     "dense_rank_global": lambda d: f"SELECT p_brand, CAST(dense_rank() OVER (ORDER BY top_cents) AS BIGINT) AS tier FROM (SELECT p_brand, max({cents('p_retailprice')}) AS top_cents FROM part GROUP BY p_brand) t",
     "lag_contiguity": lambda d: f"SELECT o_custkey, o_orderkey, CAST({d.days('prev', 'day')} AS BIGINT) AS gap_days FROM (SELECT o_custkey, o_orderkey, {ODATE} AS day, lag({ODATE}) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders) t",

@@ -104,11 +104,10 @@ def scd2_asof_join(spark, d):
     return joins.asof_merge(e, _versions(_t(spark, d, "orders")), "k", "on_day").select("o_orderkey", "version_order", F.coalesce("priority", F.lit("Unknown")).alias("priority"))
 
 
-def _snapshot(spark, d) -> DataFrame:
-    """One row an item and day, from the item's first day to the last order's, as the reference's window has it.
+def _runs(spark, d) -> DataFrame:
+    """item, first, last, on_loan, overdue: runs of days that are alike, from the item's first day to the last order's.
 
-    Items are followed by the days on which a loan begins or ends; the days between are alike and are spread out last, so
-    no join and no shuffle sees a row for each day.
+    Items are followed by the days on which a loan begins or ends, so no join and no shuffle sees a row for each day.
     """
     loans = _t(spark, d, "orders").select(F.col("o_custkey").alias("item"), _day("o_orderdate").alias("b"), F.date_add(_day("o_orderdate"), (F.col("o_orderkey") % 14).cast("int")).alias("e"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("late"))
     window = F.broadcast(loans.agg(F.max("b").alias("hi")))  # one row
@@ -118,17 +117,23 @@ def _snapshot(spark, d) -> DataFrame:
     changes = loans.select("item", F.explode(both).alias("_")).groupBy("item", "_.day").agg(F.sum("_.n").alias("n"), F.sum("_.late").alias("late"))
     by_day = Window.partitionBy("item").orderBy("day")
     runs = changes.select("item", "day", F.lead("day").over(by_day).alias("next"), F.sum("n").over(by_day).alias("n"), F.sum("late").over(by_day).alias("late")).crossJoin(window)
-    days = F.explode(joins.days_between(F.col("day"), F.least(F.coalesce(F.date_sub("next", 1), F.col("hi")), F.col("hi"))))
-    return runs.select("item", (F.col("n") > 0).cast("int").alias("on_loan"), (F.col("late") > 0).cast("int").alias("overdue"), days.alias("day")).select("item", "day", "on_loan", "overdue")
+    last = F.least(F.coalesce(F.date_sub("next", 1), F.col("hi")), F.col("hi"))
+    return runs.select("item", F.col("day").alias("first"), last.alias("last"), (F.col("n") > 0).cast("int").alias("on_loan"), (F.col("late") > 0).cast("int").alias("overdue"))
 
 
 def inventory_daily_snapshot(spark, d):
-    return _snapshot(spark, d)
+    """One row an item and day: the days of a run are spread out last."""
+    return _runs(spark, d).select("item", F.explode(joins.days_between(F.col("first"), F.col("last"))).alias("day"), "on_loan", "overdue")
 
 
 def warehouse_utilisation_monthly(spark, d):
+    """Runs are cut at month ends and their lengths added up, by item and month first, so items need no distinct count."""
     n = _t(spark, d, "customer").select(F.col("c_custkey").alias("item"), "c_nationkey")
-    g = _snapshot(spark, d).join(n, "item").groupBy("c_nationkey", (F.year("day") * 100 + F.month("day")).cast("long").alias("month_key")).agg(F.sum("on_loan").alias("loan_days"), F.count("*").alias("days"), F.countDistinct("item").alias("items"))
+    months = F.sequence(F.trunc("first", "month"), F.trunc("last", "month"), F.expr("interval 1 month"))
+    cut = _runs(spark, d).where("first <= last").select("item", "on_loan", "first", "last", F.explode(months).alias("m"))
+    length = F.datediff(F.least("last", F.last_day("m")), F.greatest("first", "m")) + 1
+    own = cut.groupBy("item", "m").agg(F.sum(length * F.col("on_loan")).alias("loan_days"), F.sum(length).alias("days"))
+    g = own.join(n, "item").groupBy("c_nationkey", (F.year("m") * 100 + F.month("m")).cast("long").alias("month_key")).agg(F.sum("loan_days").alias("loan_days"), F.sum("days").alias("days"), F.count("*").alias("items"))
     return g.select("c_nationkey", "month_key", "loan_days", "days", "items", F.expr("(20000 * loan_days + days) div (2 * days)").alias("utilisation_bp"))
 
 
