@@ -14,7 +14,7 @@ columns are read by write_shards alone, which carries them along under any name.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -48,12 +48,19 @@ def hilbert_index(coordinates: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
+def _name(c: Column, bits: int = BITS) -> Column:
+    """A cell for each name, by hash; null has one of its own."""
+    return F.when(c.isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(c.cast("string")), F.lit((1 << bits) - 1)))
+
+
+def _length(size: Column, bits: int = BITS) -> Column:
+    return F.least(F.lit((1 << bits) - 1), F.floor(F.log2(size / F.lit(float(ROW_BYTES))) * 12)).cast("long")
+
+
 def placed(documents: DataFrame, bits: int = BITS, whole: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, the quantised dimensions d0 to d2, and the curve index of every row. Texts stop here,
     unless whole is set: then the row goes along as the struct `row`."""
-    top = (1 << bits) - 1
-    name = lambda c: F.when(F.col(c).isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(top)))
-    length = F.least(F.lit(top), F.floor(F.log2(F.col("size") / F.lit(float(ROW_BYTES))) * 12)).cast("long")
+    name, length = lambda c: _name(F.col(c), bits), _length(F.col("size"), bits)
     row = [F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")] if whole else []
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), *row)
     rows = rows.select("doc_id", "size", "text_crc32", name("lang").alias("d0"), name("source").alias("d1"), length.alias("d2"), *(["row"] if whole else []))
@@ -125,3 +132,30 @@ def write_shards(documents: DataFrame, path: str, shards: int = SHARDS, law: str
     manifest(rows).write.parquet(f"{path}-manifest")
     dropped(rows)
     return documents.sparkSession.read.parquet(f"{path}-manifest")
+
+
+def shards_for(manifest: DataFrame, lang: str | None = None, source: str | None = None, sizes: tuple[int, int] | None = None) -> list[int]:
+    """Shards that can hold rows of a language, of a source, and of sizes (UTF-8 bytes of the text plus ROW_BYTES) from one to
+    another; None: any. As many numbers as shards at most."""
+    def overlaps(d: str, low: Column, high: Column) -> Column:
+        return (F.col(f"min_{d}") <= high) & (F.col(f"max_{d}") >= low)
+
+    can = F.lit(True)
+    for d, value in (("d0", lang), ("d1", source)):
+        if value is not None:
+            can = can & overlaps(d, _name(F.lit(value)), _name(F.lit(value)))
+    if sizes is not None:
+        can = can & overlaps("d2", _length(F.lit(sizes[0])), _length(F.lit(sizes[1])))
+    return sorted(r["shard"] for r in manifest.where(can).select("shard").collect())
+
+
+def read_shards(spark, path: str, lang: str | None = None, source: str | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """Rows that write_shards wrote to path, of a language, a source and sizes; files of other shards are not opened."""
+    wanted = shards_for(spark.read.parquet(f"{path}-manifest"), lang, source, sizes)
+    rows = spark.read.parquet(path).where(F.col("shard").isin(wanted))
+    for c, value in (("lang", lang), ("source", source)):
+        if value is not None:
+            rows = rows.where(F.col(c) == value)
+    if sizes is not None:
+        rows = rows.where((F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).between(*sizes))
+    return rows
