@@ -1,7 +1,7 @@
 """Ranked lexical search by block-max pruning over a forward index.
 
-Documents become rows of a forward index: length, query terms and their frequencies. Neighbouring rows form blocks; a
-block holds its documents' impacts (a term's part in the score) and, for each term, the greatest impact in the block.
+Documents become rows of a forward index: length, query terms and their frequencies. Rows are put in order of the terms
+that weigh most in them, and neighbouring rows form blocks; a block holds its documents' impacts (a term's part in the score) and, for each term, the greatest impact in the block.
 The sum of those maxima over an item's terms bounds every score in the block. The blocks of the greatest bounds are
 scored first and give each item a threshold, the least score that can still be among its best; then each task takes
 its blocks in falling order of the bound, scores documents from the forward index, raises the threshold, and stops
@@ -33,7 +33,9 @@ from sedimenta.llm.decontamination import blocks_of
 
 TOP = 10
 #: Documents of a block, and blocks that are scored first for each item.
-BLOCK_DOCS, SEEDS = 64, 4
+BLOCK_DOCS, SEEDS = 32, 4
+#: Terms of greatest impact by which documents are put in order.
+LEADING = 4
 #: Bytes that separate terms become blanks, and A to Z become small.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -114,31 +116,48 @@ def forward_index(documents: DataFrame, items: Items) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, n long, terms array<int>, times array<int>")
 
 
-def block_index(forward: DataFrame, weights: np.ndarray, n_docs: int, n_terms: int, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """Blocks of neighbouring rows that have a term of the items: block, ids, starts, terms, impacts, and the greatest
-    impact `best` of each term of the block in `all_terms`."""
+def impact_index(forward: DataFrame, weights: np.ndarray, n_docs: int, n_terms: int) -> DataFrame:
+    """doc_id, terms and impacts of every row with a term of the items, and k0 to k3, the terms of its greatest impacts."""
     shipped = forward.sparkSession.sparkContext.broadcast(weights)
-    kind = pa.schema([("ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("terms", pa.list_(pa.int32())), ("impacts", pa.list_(pa.int64())), ("all_terms", pa.list_(pa.int32())), ("best", pa.list_(pa.int64()))])
+    kind = pa.schema([("doc_id", pa.int64()), ("terms", pa.list_(pa.int32())), ("impacts", pa.list_(pa.int64())), *((f"k{i}", pa.int32()) for i in range(LEADING))])
 
     def run(batches):
         weight = shipped.value
+        for batch in slices(batches, 1024):
+            out = []
+            for doc_id, n, terms, times in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "terms", "times"))):
+                if terms:
+                    t, c = np.array(terms, np.int64), np.array(times, np.int64)
+                    m = 25 + 75 * n * n_docs // n_terms  # 100 - 75 + ..., in whole numbers of any size
+                    impacts = weight[t] * ((1_000_000_000 * c) // (1000 * c + 8 * m))
+                    first = t[np.lexsort((t, -impacts))[:LEADING]].tolist()
+                    out.append((doc_id, terms, impacts, *first, *[-1] * (LEADING - len(first))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind)
+
+    return forward.mapInArrow(trimmed(run), "doc_id long, terms array<int>, impacts array<long>, " + ", ".join(f"k{i} int" for i in range(LEADING)))
+
+
+def block_index(impacts: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """Blocks of neighbouring rows in the order of their leading terms: block, ids, starts, terms, impacts, and the greatest
+    impact `best` of each term of the block in `all_terms`. Documents that are about the same lie together, so that the
+    maxima of a block tell more of its documents; documents that lead alike are dealt out by hash, however many they are."""
+    kind = pa.schema([("ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("terms", pa.list_(pa.int32())), ("impacts", pa.list_(pa.int64())), ("all_terms", pa.list_(pa.int32())), ("best", pa.list_(pa.int64()))])
+
+    def run(batches):
         for batch in slices(batches, block_docs):
-            ids, lengths = batch.column("doc_id").to_pylist(), batch.column("n").to_pylist()
             at = batch.column("terms")
-            terms, times = at.flatten().to_numpy().astype(np.int64), batch.column("times").flatten().to_numpy().astype(np.int64)
+            terms, impacts = at.flatten().to_numpy().astype(np.int64), batch.column("impacts").flatten().to_numpy()
             counts = at.value_lengths().to_numpy()
-            m = np.array([25 + 75 * n * n_docs // n_terms for n in lengths], np.int64)  # 100 - 75 + ..., in whole numbers of any size
-            impacts = weight[terms] * ((1_000_000_000 * times) // (1000 * times + 8 * np.repeat(m, counts)))
-            some = counts > 0  # the others score nothing
-            if not some.any():
-                continue
-            starts = np.cumsum(counts[some]) - counts[some]
             order = np.argsort(terms, kind="stable")
             all_terms, first = np.unique(terms[order], return_index=True)
-            row = [[i for i, s in zip(ids, some) if s]], [starts], [terms], [impacts], [all_terms], [np.maximum.reduceat(impacts[order], first)]
+            row = [batch.column("doc_id").to_pylist()], [np.cumsum(counts) - counts], [terms], [impacts], [all_terms], [np.maximum.reduceat(impacts[order], first)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, kind)], schema=kind)
 
-    made = forward.mapInArrow(trimmed(run), "ids array<long>, starts array<int>, terms array<int>, impacts array<long>, all_terms array<int>, best array<long>")
+    order = [*(f"k{i}" for i in range(LEADING)), F.xxhash64("doc_id"), "doc_id"]
+    parts = int(impacts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = impacts.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "terms", "impacts")
+    made = dealt.mapInArrow(trimmed(run), "ids array<long>, starts array<int>, terms array<int>, impacts array<long>, all_terms array<int>, best array<long>")
     return made.withColumn("block", F.monotonically_increasing_id())
 
 
@@ -223,7 +242,7 @@ def search(documents: DataFrame, queries: DataFrame, top: int = TOP, block_docs:
         weights = np.zeros(len(items.number), np.int64)
         for r in forward.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each term of the items
             weights[r["t"]] = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * r["count"] + 1)))
-        blocks = saved(block_index(forward, weights, n_docs, n_terms, block_docs), "blocks")
+        blocks = saved(block_index(impact_index(forward, weights, n_docs, n_terms), block_docs), "blocks")
         found = _first(search_blocks(blocks, items, seed_thresholds(blocks, items, top), top), top, F.desc("score"), F.asc_nulls_last("doc_id"))
         ids = spark.createDataFrame([(q, rows[i][0]) for q, i in enumerate(items.item)], "q long, item_id long")
         parts.append(found.join(F.broadcast(ids), "q").select("item_id", "rank", "doc_id", "score"))
