@@ -257,6 +257,7 @@ def inventory_daily_snapshot(s: dict[str, DataFrame], items: DataFrame, contents
     """One row for each item and day in service from `first` to `last`.
 
     `targets` (inventory_id, from_date) gives the items to build and the day from which; None: all from `first`.
+    An item that was neither bought on a known day nor ever lent is not in service.
     An item is on loan from the rental day up to the day before the return, one day at least; overlapping loans count once.
 
     Items are followed by the days on which something changes: a loan begins, ends or becomes overdue, a version of the
@@ -266,7 +267,7 @@ def inventory_daily_snapshot(s: dict[str, DataFrame], items: DataFrame, contents
     lo, hi = F.lit(first).cast("date"), F.lit(last).cast("date")
     base = _in_service(s).withColumn("from_date", lo) if targets is None else _in_service(s).join(targets, "inventory_id")
     gone = F.when(F.col("status") == "Retired", F.coalesce("after_last", "in_service_date")).alias("gone_from")
-    base = base.select("inventory_id", "content_id", gone, F.greatest("from_date", "in_service_date").alias("begin")).where(F.col("begin") <= hi)
+    base = base.select("inventory_id", "content_id", gone, F.when(F.col("in_service_date").isNotNull(), F.greatest("from_date", "in_service_date")).alias("begin")).where(F.col("begin") <= hi)
     loans = s["rental"].join(base.select("inventory_id"), "inventory_id", "left_semi") if targets is not None else s["rental"]
     until = F.least(F.greatest(F.date_sub(F.coalesce("return_date", F.date_add(hi, 1)), 1), F.col("rental_date")), hi)
     deltas = ("loan", "over", "starts", "returns")
