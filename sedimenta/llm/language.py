@@ -134,7 +134,7 @@ def fit(documents: DataFrame, max_train: int = MAX_TRAIN, folds: int = FOLDS) ->
     if part < 1:
         # few enough rows come to the driver, whatever the table's size: those whose hash lies in the lowest part of all hashes
         seldom = train.groupBy("lang").count().where(F.col("count") * part < LEAST).select("lang", F.lit(True).alias("seldom"))
-        told = chosen.join(seldom, "lang", "left")
+        told = chosen.join(F.broadcast(seldom), "lang", "left")  # names only, of languages that each send rows to the driver anyway
         common = told.where("seldom is null").where(within(F.xxhash64("h"), part)).drop("seldom").orderBy("h", "lang").limit(2 * max_train)
         order = Window.partitionBy("lang").orderBy("h")
         few = told.where("seldom").withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEAST).drop("seldom", "n")
