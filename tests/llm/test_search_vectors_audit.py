@@ -202,7 +202,7 @@ def test_bounds_hold_and_blocks_are_passed_over(library):
 
 
 def plain_audit(docs, labels):
-    good, bad = {i for i, q, _ in labels if q == 1}, {i for i, _, t in labels if t == 1}
+    good, bad = {i for i, q, _ in labels if q == 1 and i is not None}, {i for i, _, t in labels if t == 1 and i is not None}
     first, parts = {}, collections.defaultdict(list)
     for i, t, _ in docs:
         if i is not None:
@@ -226,14 +226,16 @@ def plain_audit(docs, labels):
     return out
 
 
-def test_audit(spark):
+def test_audit(spark, tmp_path):
     rng = random.Random(6)
     vocabulary = [f"v{i}" for i in range(400)] + ["CAPS", "Cap", "x#", "50%", "日本語", "İ"]
     text = lambda n, k: " ".join(rng.choices(vocabulary[:k] if k < 400 else vocabulary, k=n)) + rng.choice(["", "\n", "\t\x0b "])
     docs = [(i, text(rng.choice([3, 150, 199, 200, 201, 450]), rng.choice([40, 100, 406])), rng.choice(["s0", "s0", "s1", "", None])) for i in range(150)]
     docs += [(200 + i, docs[4][1], "s0") for i in range(90)] + [docs[4], docs[4], (None, docs[4][1], "s1"), (None, docs[4][1], "s1"), (None, "only here " * 120, None), (300, None, "s2"), (301, "", "s2"), (302, " \n\t ", "s2"), (303, "word " * 60_000, "s1"), (304, "A" * 100 + " " + "b" * 4900, "s3"), (305, "A" * 101 + " " + "b" * 4898, "s3")]
     labels = [(i, i % 2, int(i % 3 == 0)) for i in range(0, 310, 2)] + [(4, 0, 0), (4, 1, 1), (None, 1, 1), (6, None, 1), (999, 1, 1)]
-    d = spark.createDataFrame([(i, t, s, "m", 1, 2) for i, t, s in docs], "doc_id long, text string, source string, part string, mask int, n long").repartition(6)
+    d = spark.createDataFrame([(i, t, s, "m", 1, 2) for i, t, s in docs], "doc_id long, text string, source string, part string, mask int, n long")
+    d.repartition(6).write.parquet(f"{tmp_path}/documents")  # the operator numbers rows by their places in files
+    d = spark.read.parquet(f"{tmp_path}/documents")
     names = ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
     found = audit.audit(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert found.columns == names and {t for c, t in found.dtypes if c not in names[:3]} == {"bigint"}
