@@ -75,7 +75,7 @@ def test_a_context_that_stands_twice_is_judged(spark):
     texts[10] += " " + " ".join(rare)
     texts[200] += " " + " ".join(rare)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    tree = suffixtree.learn(suffixtree.symbols(docs))
+    tree = suffixtree.learn(suffixtree.symbols(docs), min_context=2, min_count=2)
     h = np.frombuffer(suffixtree.symbols_of([" ".join(rare)])[0], "<i8")[:-1]
     pairs = suffixtree.runs(h, 1)[1][1:]
     known = {r["key"] for r in tree.entries.select("key").collect()}

@@ -96,7 +96,7 @@ def test_suffix_tree_against_dictionaries(spark, hot):
     want, sizes = tree_scores(texts, [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))])
     assert sizes[0] > 50 and min(sizes) > 0
     rows = suffixtree.symbols(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
-    tree = suffixtree.learn(rows.where("not held_out"), least=8)
+    tree = suffixtree.learn(rows.where("not held_out"), min_context=8, min_count=2)
     got = {r["doc_id"]: r["score"] for r in suffixtree.score(rows, tree, suffixtree.Hot(**hot)).collect()}
     assert all(math.isclose(got[i], x, rel_tol=1e-9) for i, x in enumerate(want))
 
