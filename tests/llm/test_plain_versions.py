@@ -42,15 +42,13 @@ def test_keep_one_keeps_a_row_of_each_component(spark):
     assert all(r[0] == low[comp[data.index(r)]] for r in got)
 
 
-def tree_scores(texts, held, least=8, depth=3, smooth=4.0, part=16):
+def tree_scores(texts, held, min_context=8, min_count=2, depth=3, smooth=4.0):
     """The score of each text by the tree of those not held out, from plain dictionaries; and the tree's states by depth."""
     low = [[w.lower() for w in t.split()] + ["\n"] for t in texts]
     train = [w for w, h in zip(low, held) if not h]
     c = collections.Counter(w for t in train for w in t)
     n = sum(c.values())
     total = n + 0.1 * (len(c) + 1)
-    min_context = max(least, math.isqrt(n) // 64)
-    min_count = max(2, min_context // part)
     level = {(w,): (k, (k + 0.1) / total) for w, k in c.items() if k >= min_count}
     states, entries, sizes = {}, {}, []
     for k in range(1, depth + 1):
