@@ -237,3 +237,17 @@ def test_staged_csv_and_catalog(spark, tmp_path):
     rows.createOrReplaceTempView("staged_genre")
     columns = catalog_columns(spark).where("table_name = 'staged_genre'").orderBy("ordinal").collect()
     assert [(r["column_name"], r["data_type"]) for r in columns][:2] == [("payload", "string"), ("genre_id", "bigint")]
+
+
+def test_known_rows_that_become_duplicates_leave_no_stale_row(spark, tmp_path):
+    """Two sessions move onto one business key in one delivery: the second is known, so it moves too and is marked."""
+    w = Warehouse(spark, str(tmp_path))
+    w.ingest("streaming_session", staged(spark, "streaming_session", [session(1), session(2, start="2026-01-01 11:00:00"), session(3, start="2026-01-01 12:00:00")]), "b1", NOW)
+    w.flag_silver(NOW)
+    there = "2026-02-01 09:00:00"
+    moved = staged(spark, "streaming_session", [session(i, start=there, end_time="2026-02-01 09:45:00", updated_at=T1) for i in (2, 3, 4)])
+    assert w.ingest("streaming_session", moved, "b2", LATER) == {"read": 3, "rejected": 1, "merged": 2}
+    w.flag_silver(LATER)
+    rows = w.silver("streaming_session").orderBy("stream_id").select("stream_id", F.date_format("start_time", "yyyy-MM"), "is_duplicate", "duplicate_of_id").collect()
+    assert [tuple(r) for r in rows] == [(1, "2026-01", False, None), (2, "2026-02", False, None), (3, "2026-02", True, 2)]
+    assert [r["details"] for r in w.control("rejects", "").collect()] == ["same as 2"]
