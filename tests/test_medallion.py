@@ -251,3 +251,15 @@ def test_known_rows_that_become_duplicates_leave_no_stale_row(spark, tmp_path):
     rows = w.silver("streaming_session").orderBy("stream_id").select("stream_id", F.date_format("start_time", "yyyy-MM"), "is_duplicate", "duplicate_of_id").collect()
     assert [tuple(r) for r in rows] == [(1, "2026-01", False, None), (2, "2026-02", False, None), (3, "2026-02", True, 2)]
     assert [r["details"] for r in w.control("rejects", "").collect()] == ["same as 2"]
+
+
+def test_loans_of_retired_items_change_days_before_them(spark):
+    """The last loan tells how long a retired item stays, so all of its days are built anew; another item's from the loan on."""
+    item = {"content_id": "1", "warehouse_id": "1", "purchase_date": "2026-01-01"}
+    items = typed(spark, "inventory_item", [item | {"inventory_id": "1", "status": "Retired"}, item | {"inventory_id": "2", "status": "Available"}])
+    loan = {"customer_id": "1", "rental_date": "2026-03-01", "due_date": "2026-03-05", "rental_fee": "3.49", "status": "Active"}
+    loans = typed(spark, "rental", [loan | {"rental_id": "1", "inventory_id": "1"}, loan | {"rental_id": "2", "inventory_id": "2"}])
+    new = F.struct(*loans.columns)
+    feed = loans.select("rental_id", F.lit("insert").alias("action"), F.when(F.lit(False), new).alias("old"), new.alias("new"))
+    found = change_set({"rental": feed}, {"rental": loans, "inventory_item": items})["inventory"].orderBy("inventory_id").collect()
+    assert [tuple(r) for r in found] == [(1, None), (2, dt.date(2026, 3, 1))]
