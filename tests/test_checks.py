@@ -1,6 +1,8 @@
 """Validation turns red where something is wrong, in every area; and a database is read in parts from the watermark on."""
 
 import datetime as dt
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +72,9 @@ def test_a_database_is_read_in_parts_from_the_watermark_on(spark):
     assert rows.count() == whole.where(F.col("updated_at") >= SINCE).count() < whole.count()
     assert rows.select("o_orderkey").distinct().count() == rows.count()
     assert read_jdbc(spark, url, "orders", "o_orderkey", "updated_at", dt.datetime(2200, 1, 1), properties=DERBY).count() == 0
+
+
+def test_the_database_lies_where_other_machines_reach_it(spark):
+    """Not in the memory of one JVM: executors of a cluster have another."""
+    place = re.fullmatch(r"jdbc:derby:jar:\((.+)\)db", staged_database(spark, DIR)).group(1)
+    assert Path(place).is_file() and place.startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
