@@ -7,11 +7,11 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.operators import merges
+from sedimenta.operators import joins, merges
 from sedimenta.plans import fixture, runner
 from sedimenta.plans.entities import schema_of
 from sedimenta.plans.medallion import KEEP_RUNS, STEPS, Warehouse
-from sedimenta.sources.versions import Conflict, Table, put_if_absent
+from sedimenta.sources.versions import Conflict, Table, put_if_absent, unsorted_writes
 from sedimenta.streaming.upserts import stream_table, upsert_stream
 
 T0, NOW = "2026-01-01 08:00:00", dt.datetime(2026, 1, 3)
@@ -248,3 +248,32 @@ def test_surrogates_of_text_and_of_large_keys(spark):
     big = [(2**60 + i, None) for i in range(120)]
     got = merges.with_surrogates(spark.createDataFrame(big, "k long, s long"), spark.createDataFrame([], "s long"), "k", "s")
     assert [r["s"] for r in got.orderBy("k").collect()] == list(range(1, 121))
+
+
+def test_a_first_load_moves_and_copies_no_row_twice(spark, tmp_path, monkeypatch):
+    """Keys that stand once are not ranked, and the cleansed rows of a first load are its feed; a later try leaves them."""
+    ranked, real = [], joins.first_of
+    monkeypatch.setattr(joins, "first_of", lambda *a: ranked.append(1) or real(*a))
+    w = Warehouse(spark, str(tmp_path))
+    w.ingest("rental", staged(spark, "rental", [rental(i) for i in range(20)]), "b1", NOW)
+    assert not ranked and not (tmp_path / "changes" / "rental").exists()
+    w.ingest("rental", staged(spark, "rental", [rental(3, updated_at="2026-01-02 08:00:00", status="Returned")]), "b1", NOW)
+    first = {r["rental_id"]: (r["action"], r["old"], r["new"]["status"]) for r in w.feed("rental").where("entry = 1").collect()}
+    assert first == {i: ("insert", None, "Active") for i in range(20)}
+    assert [(r["action"], r["old"]["status"], r["new"]["status"]) for r in w.feed("rental", beyond=1).collect()] == [("update", "Active", "Returned")]
+    twice = [rental(1), rental(1, updated_at="2026-01-02 08:00:00", status="Returned"), rental(2)]
+    w = Warehouse(spark, f"{tmp_path}/twice")
+    w.ingest("rental", staged(spark, "rental", twice), "b1", NOW)
+    assert sorted((r["rental_id"], r["status"]) for r in w.silver("rental").collect()) == [(1, "Returned"), (2, "Active")] and w.bronze("rental").count() == 3
+
+
+def test_parts_are_written_without_a_sort_and_the_setting_goes_back(spark, tmp_path):
+    name, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    t = Table(spark, f"{tmp_path}/t")
+    with unsorted_writes(spark):
+        with unsorted_writes(spark):
+            seen.append(spark.conf.get(name))
+        seen.append(spark.conf.get(name))
+    assert seen == ["64", "64"] and spark.conf.get(name) == "0"
+    t.replace(spark.range(100), F.col("id") % 90)
+    assert t.read().count() == 100 and len(t.state().parts) == 90
