@@ -159,6 +159,12 @@ def bounded_labels(labels: DataFrame, column: str, limit: int, folds: int, value
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df for a join in which both sides are shuffled. A few columns of numbers look small in their files, so without this
+    Spark gathers millions of rows in the driver to send them to every task."""
+    return df.hint("merge")
+
+
 #: Classes beyond this share of all rows are joined by broadcast; there are fewer of them than its inverse.
 HOT_SHARE = 0.005
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import LOWER, SPACE_WORDS_B, dropped, saved, table, trimmed
+from sedimenta.llm.common import LOWER, SPACE_WORDS_B, apart, dropped, saved, table, trimmed
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 BLOCKS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
@@ -122,7 +122,7 @@ def links(classes: DataFrame, part: int = PART) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(t).alias("t"), (block[i] * 65536 + block[j]).alias("k")) for t, (i, j) in enumerate(BLOCKS)])
     keyed = classes.select("fp", F.explode(keys).alias("_")).select("fp", "_.t", "_.k")
     shared = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    many = keyed.join(shared, ["t", "k"])
+    many = keyed.join(apart(shared), ["t", "k"])
     parts = F.ceil(F.col("n") / part).cast("int")
     mine = F.pmod(F.xxhash64("fp", "t"), parts.cast("long")).cast("int")
     pairs = many.select("fp", "t", "k", parts.alias("p"), mine.alias("m")).select("fp", "t", "k", "m", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("o"))
@@ -162,12 +162,12 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: each node's larger neighbours go to its smallest neighbour or itself
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(apart(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # small star: each node and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+        small = large.join(apart(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         new = saved(small, "links")
-        changed = new.join(now, ["u", "v"], "left_anti").limit(1).count() or now.join(new, ["u", "v"], "left_anti").limit(1).count()
+        changed = new.join(apart(now), ["u", "v"], "left_anti").limit(1).count() or now.join(apart(new), ["u", "v"], "left_anti").limit(1).count()
         dropped(now)
         now = new
         if not changed:
@@ -179,11 +179,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     own = saved(fingerprints(documents), "fingerprints")
     classes = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     label = saved(components(links(classes.select("fp"))), "labels")
-    linked = label.join(classes, label["node"] == classes["fp"]).select("fp", "label", "first_id")
+    linked = label.join(apart(classes), label["node"] == classes["fp"]).select("fp", "label", "first_id")
     first = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    alone = classes.join(label, classes["fp"] == label["node"], "left_anti").select("fp", F.col("first_id").alias("component_id"))
-    of = alone.unionByName(linked.join(first, "label").select("fp", "component_id"))
-    return own.join(of, "fp").select("doc_id", "fp", "component_id")
+    alone = classes.join(apart(label), classes["fp"] == label["node"], "left_anti").select("fp", F.col("first_id").alias("component_id"))
+    of = alone.unionByName(linked.join(apart(first), "label").select("fp", "component_id"))
+    return own.join(apart(of), "fp").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
@@ -203,8 +203,8 @@ def keep_one(documents: DataFrame) -> DataFrame:
     own = saved(fingerprints(documents, keys[f"{mark}t"], keys[f"{mark}r"]), "fingerprints")
     label = saved(components(links(own.select("fp").distinct())), "labels")
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "text_key", "row_key")
-    one = own.join(label, own["fp"] == label["node"], "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min(row).alias("_"))
+    one = own.join(apart(label), own["fp"] == label["node"], "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min(row).alias("_"))
     one = one.select(F.col("_.doc_id").alias("i"), F.col("_.text_key").alias("t"), F.col("_.row_key").alias("r"))
     keyed = documents.withColumns(keys)
-    once = keyed.join(one, keyed[f"{mark}i"].eqNullSafe(one["i"]) & (keyed[f"{mark}t"] == one["t"]) & (keyed[f"{mark}r"] == one["r"]), "left_semi")
+    once = keyed.join(apart(one), keyed[f"{mark}i"].eqNullSafe(one["i"]) & (keyed[f"{mark}t"] == one["t"]) & (keyed[f"{mark}r"] == one["r"]), "left_semi")
     return once.dropDuplicates(list(keys)).drop(*keys)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("sedimenta.llm.queries")
-from sedimenta.llm import common, language, substrings, suffixtree, tokenfiles, toxicity  # noqa: E402
+from sedimenta.llm import common, language, simhash, substrings, suffixtree, tokenfiles, toxicity  # noqa: E402
 
 
 @pytest.mark.parametrize("total", [10, 10**6, 4 * 10**9, 10**13, 10**17])
@@ -105,3 +105,11 @@ def test_paths_of_spark_are_known_to_arrow():
     assert tokenfiles.arrow_uri("s3a://bucket/warehouse/t") == "s3://bucket/warehouse/t" and tokenfiles.arrow_uri("file:///a/b") == "file:///a/b"
     store, base = fs.FileSystem.from_uri(tokenfiles.arrow_uri("s3a://bucket/t?region=us-east-1&endpoint_override=localhost:9"))  # refused as s3a before
     assert store.type_name == "s3" and base == "bucket/t"
+
+
+def test_fingerprints_meet_without_the_driver(spark):
+    """Links, labels and components are joined by shuffles: no side is gathered, however small its files look."""
+    docs = spark.createDataFrame([(i, f"one two three four {i % 7} five six seven") for i in range(40)], "doc_id long, text string")
+    own = common.saved(simhash.fingerprints(docs), "fingerprints")
+    for made in (simhash.links(own.select("fp").distinct()), simhash.near_duplicates(docs)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
