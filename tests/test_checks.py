@@ -3,11 +3,12 @@
 import datetime as dt
 import re
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.plans import fixture, runner
+from sedimenta.plans import checks, fixture, layers, runner
 from sedimenta.plans.layers import validate
 from sedimenta.plans.medallion import Warehouse
 from sedimenta.plans.warehouse import DERBY, SINCE, staged_database
@@ -78,3 +79,22 @@ def test_the_database_lies_where_other_machines_reach_it(spark):
     """Not in the memory of one JVM: executors of a cluster have another."""
     place = re.fullmatch(r"jdbc:derby:jar:\((.+)\)db", staged_database(spark, DIR)).group(1)
     assert Path(place).is_file() and place.startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+
+
+def test_checks_run_some_at_a_time():
+    texts = checks.validation_texts()
+    counts = [t.count(" AS check_name") for t in texts]
+    assert max(counts) <= checks.TOGETHER and sum(counts) == checks.validation_text().count(" AS check_name") > 180
+
+
+def test_a_feed_needs_no_gold(monkeypatch):
+    """What changed in silver is asked without building dimensions and facts on it."""
+    loads = []
+    monkeypatch.setattr(layers.runner, "extract", lambda w, sources, batch, at: loads.append((batch, at)))
+    monkeypatch.setattr(layers.runner, "build_gold", lambda *a: pytest.fail("gold is built"))
+    monkeypatch.setattr(layers.fixture, "sources", lambda *a: {})
+    monkeypatch.setattr(layers, "Warehouse", lambda *a, **k: (a, k))
+    monkeypatch.setattr(layers, "scratch", lambda spark: "x")
+    monkeypatch.setattr(layers, "_built", {})
+    layers.moved_silver(SimpleNamespace(sparkContext=SimpleNamespace(applicationId="a")), "d")
+    assert loads == [("b1", layers.NOW), ("b2", layers.MOVED_AT)]
