@@ -82,6 +82,22 @@ def test_a_context_that_stands_twice_is_judged(spark):
     assert set(pairs.tolist()) <= known
 
 
+def test_the_suffix_tree_keeps_no_copy_of_the_texts(spark, tmp_path, monkeypatch):
+    """Symbols took more disk than the texts, through all passes; and blocks of counts stayed until their joins were done."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 9, 200))) for i in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tags, real = [], suffixtree.saved
+    monkeypatch.setattr(suffixtree, "saved", lambda df, tag: tags.append(tag) or real(df, tag))
+    got = {r["doc_id"]: r["score"] for r in suffixtree.op10_suffix_tree(spark, str(tmp_path)).collect()}
+    assert "symbols" not in tags
+    assert tags.index("counted") < tags.index("runs")
+    kept = suffixtree.symbols(docs)
+    want = {r["doc_id"]: r["score"] for r in suffixtree.score(kept, suffixtree.learn(kept.where("not held_out"))).collect()}
+    assert got == pytest.approx(want, rel=1e-12)
+
+
 def test_scratch_is_no_machine_local_folder_on_a_cluster(monkeypatch):
     class Context:
         master = "spark://somewhere:7077"
