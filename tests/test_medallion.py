@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from sedimenta.operators import joins
 from sedimenta.plans import gold, views
 from sedimenta.plans.entities import NAMES, schema_of
 from sedimenta.plans.medallion import Warehouse, change_set, cleansed, typed_rows
@@ -84,6 +85,28 @@ def test_duplicates_across_batches_are_flagged(spark, tmp_path):
     assert [tuple(r) for r in touched["customer"].collect()] == [(1, 202601)] and [r[0] for r in touched["month"].collect()] == [202601]
 
 
+def test_flags_of_a_later_load_move_no_bucket_to_join_it(spark, tmp_path, monkeypatch):
+    """A few changed rows go to the index and to silver; each of four joins shuffled whole buckets for them."""
+    w = Warehouse(spark, str(tmp_path))
+    w.ingest("streaming_session", staged(spark, "streaming_session", [session(i, start=f"2026-01-01 10:{i:02}:00") for i in range(1, 40)]), "b1", NOW)
+    w.flag_silver(NOW)
+    w.ingest("streaming_session", staged(spark, "streaming_session", [session(90, start="2026-01-01 10:07:00", updated_at=T1), session(3, start="2026-01-01 10:05:00", updated_at=T1)]), "b2", LATER)
+
+    def refused(df):
+        raise AssertionError("shuffled for a few rows")
+
+    monkeypatch.setattr(joins, "apart", refused)
+    assert w.flag_silver(LATER) == 2
+    marked = w.silver("streaming_session").where("is_duplicate").orderBy("stream_id").select("stream_id", "duplicate_of_id").collect()
+    assert [tuple(r) for r in marked] == [(5, 3), (90, 7)]
+    monkeypatch.undo()
+    monkeypatch.setattr(joins, "FEW", 0)  # many rows are shuffled, with the same marks
+    w.ingest("streaming_session", staged(spark, "streaming_session", [session(3, start="2026-01-01 10:07:00", updated_at="2026-01-03 08:00:00")]), "b3", dt.datetime(2026, 1, 5))
+    assert w.flag_silver(dt.datetime(2026, 1, 5)) == 3
+    marked = w.silver("streaming_session").where("is_duplicate").orderBy("stream_id").select("stream_id", "duplicate_of_id").collect()
+    assert [tuple(r) for r in marked] == [(7, 3), (90, 3)]
+
+
 def kept(df, path):
     """Tables are read from files here as they are between runs."""
     df.write.mode("overwrite").parquet(str(path))
