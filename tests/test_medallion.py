@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.operators import joins
-from sedimenta.plans import gold, views
+from sedimenta.plans import gold, layers, views
 from sedimenta.plans.entities import NAMES, schema_of
 from sedimenta.plans.medallion import Warehouse, change_set, cleansed, typed_rows
 from sedimenta.sources.versions import Table, catalog_columns, not_yet_loaded, read_staged_csv
@@ -286,3 +286,12 @@ def test_loans_of_retired_items_change_days_before_them(spark):
     feed = loans.select("rental_id", F.lit("insert").alias("action"), F.when(F.lit(False), new).alias("old"), new.alias("new"))
     found = change_set({"rental": feed}, {"rental": loans, "inventory_item": items})["inventory"].orderBy("inventory_id").collect()
     assert [tuple(r) for r in found] == [(1, None), (2, dt.date(2026, 3, 1))]
+
+
+def test_a_row_that_moved_onto_anothers_business_key_is_no_change(spark, tmp_path, monkeypatch):
+    w = Warehouse(spark, str(tmp_path))
+    w.ingest("streaming_session", staged(spark, "streaming_session", [session(1), session(2, "2026-01-01 11:00:00"), session(3, "2026-01-01 12:00:00")]), "b1", layers.NOW)
+    late = [session(2, watch_duration="9", updated_at=T1), session(3, "2026-01-01 12:30:00", updated_at=T1), session(4, "2026-01-01 12:30:00", updated_at=T1), session(5, "2026-01-01 13:00:00", updated_at=T1)]
+    w.ingest("streaming_session", staged(spark, "streaming_session", late), "b2", layers.MOVED_AT)
+    monkeypatch.setattr(layers, "moved_silver", lambda *a: w)
+    assert sorted((r["row_key"], r["action"]) for r in layers.feed_of_moves(spark, "").collect()) == [("3", "update"), ("5", "insert")]
