@@ -295,3 +295,12 @@ def test_a_row_that_moved_onto_anothers_business_key_is_no_change(spark, tmp_pat
     w.ingest("streaming_session", staged(spark, "streaming_session", late), "b2", layers.MOVED_AT)
     monkeypatch.setattr(layers, "moved_silver", lambda *a: w)
     assert sorted((r["row_key"], r["action"]) for r in layers.feed_of_moves(spark, "").collect()) == [("3", "update"), ("5", "insert")]
+
+
+def test_an_id_that_is_used_again_is_another_rental(spark, tmp_path, monkeypatch):
+    w = Warehouse(spark, str(tmp_path))
+    base = {"customer_id": "1", "inventory_id": "1", "rental_date": "2026-01-01", "due_date": "2026-01-05", "rental_fee": "3.49", "status": "Active"}
+    w.ingest("rental", staged(spark, "rental", [base | {"rental_id": i} for i in ("6", "900001")]), "b1", NOW)
+    w.ingest("rental", staged(spark, "rental", [base | {"rental_id": "6", "updated_at": T1}, base | {"rental_id": "900001", "created_at": T1, "updated_at": T1}]), "b2", LATER)
+    monkeypatch.setattr(layers, "built", lambda *a, **k: w)
+    assert sorted(map(tuple, layers.bronze_versions(spark, "").collect())) == [(6, 2), (900001, 1), (900001, 1)]
