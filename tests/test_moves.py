@@ -73,3 +73,9 @@ def test_writes_by_part_read_small_pieces(spark):
             assert spark.conf.get(c) == READS
         assert spark.conf.get(c) == READS
     assert spark.conf.get(c) == before
+
+
+def test_small_buckets_do_not_grow_with_the_table(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path), bucket_rows=20_000)
+    assert [w.buckets(n) for n in (0, 1, 20_001, 600_000, 9_000_000, 100_000_000)] == [1, 1, 2, 30, 64, 200]
+    assert [Warehouse(spark, str(tmp_path)).buckets(n) for n in (0, 500_001, 100_000_000)] == [1, 2, 200]
