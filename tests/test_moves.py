@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sedimenta.operators import joins
 from sedimenta.plans import fixture, gold, runner
 from sedimenta.plans.medallion import Warehouse
-from sedimenta.sources.versions import READS, unsorted_writes
+from sedimenta.sources.versions import READS, SMALL_FILES, small_broadcasts, unsorted_writes
 
 DIR = "/root/testdata/sf0.001"
 
@@ -75,6 +75,24 @@ def test_writes_by_part_read_small_pieces(spark):
     assert spark.conf.get(c) == before
 
 
+def test_builds_broadcast_unasked_only_what_is_very_small(spark, monkeypatch, tmp_path):
+    c, seen = "spark.sql.autoBroadcastJoinThreshold", []
+    before = spark.conf.get(c)
+    w = Warehouse(spark, str(tmp_path))
+    monkeypatch.setattr(Warehouse, "ingest_all", lambda *a: seen.append(spark.conf.get(c)) or [])
+    monkeypatch.setattr(runner, "prepare", lambda *a: seen.append(spark.conf.get(c)) or 1 / 0)
+    runner.extract(w, {}, "b1", dt.datetime(2024, 5, 1, 12))
+    with pytest.raises(ZeroDivisionError):
+        runner.build_gold(w, dt.datetime(2024, 5, 1, 12))
+    assert seen == [SMALL_FILES, SMALL_FILES] and spark.conf.get(c) == before
+    spark.conf.set(c, "7")
+    try:
+        with small_broadcasts(spark):
+            assert spark.conf.get(c) == "7"  # what is set stays
+    finally:
+        spark.conf.unset(c)
+
+
 def test_small_buckets_do_not_grow_with_the_table(spark, tmp_path):
     w = Warehouse(spark, str(tmp_path), bucket_rows=20_000)
     assert [w.buckets(n) for n in (0, 1, 20_001, 600_000, 9_000_000, 100_000_000)] == [1, 1, 2, 30, 64, 200]
