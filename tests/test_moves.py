@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.operators import joins
-from sedimenta.plans import fixture, gold, runner
+from sedimenta.plans import fixture, gold, layers, runner
 from sedimenta.plans.medallion import Warehouse
 from sedimenta.sources.versions import READS, SMALL_FILES, small_broadcasts, unsorted_writes
 
@@ -93,6 +93,16 @@ def test_builds_broadcast_unasked_only_what_is_very_small(spark, monkeypatch, tm
         spark.conf.unset(c)
 
 
+def test_facts_are_compared_by_member(spark):
+    columns = "k long, d int, x string"
+    a = spark.createDataFrame([(1, 1, "a"), (1, 1, "a"), (1, 2, None), (2, 1, "b"), (None, 1, "n")] + [(i, 3, "s") for i in range(3, 40)], columns)
+    z = spark.createDataFrame([(1, 1, "a"), (1, 2, ""), (2, 1, "b"), (4000, 1, "c"), (None, 1, None)] + [(i, 3, "s") for i in range(3, 40)], columns)
+    for left, right in ((a, z), (z, a), (a, a), (a.limit(0), z)):
+        assert layers.rows_that_differ(left, right, "k") == left.exceptAll(right).count() + right.exceptAll(left).count()
+    full = layers.rows_that_differ(a, a.repartition(3), "k")
+    assert full == 0
+
+
 def test_small_buckets_do_not_grow_with_the_table(spark, tmp_path):
     w = Warehouse(spark, str(tmp_path), bucket_rows=20_000)
     assert [w.buckets(n) for n in (0, 1, 20_001, 600_000, 9_000_000, 100_000_000)] == [1, 1, 2, 30, 64, 200]
